@@ -68,3 +68,22 @@ def let(value: Column, body) -> Column:
     and a copy inside a lambda is evaluated for each element. A value bound by a
     lambda of its own is safe from that."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def ship(spark: SparkSession) -> None:
+    """Puts this package on the executors' Python path, once for each Spark application."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_wayfold_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = os.path.join(tempfile.mkdtemp(prefix="wayfold-"), "wayfold.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for folder, _, files in os.walk(top):
+            for f in (f for f in files if f.endswith(".py")):
+                path = os.path.join(folder, f)
+                z.write(path, os.path.relpath(path, os.path.dirname(top)))
+    sc.addPyFile(name)
+    sc._wayfold_shipped = True

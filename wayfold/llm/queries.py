@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import bpe, decontaminate, line_dedup, quality_rules, toxicity, url_filter, warc
 
 
 def queries() -> dict:
-    return {"op1_quality_rules": quality_rules.query}
+    return {
+        "op1_quality_rules": quality_rules.query,
+        "op3_url_filter": url_filter.query,
+        "op4_bpe": bpe.query,
+        "op6_toxicity": toxicity.query,
+        "op7_warc": warc.query,
+        "op9_line_dedup": line_dedup.query,
+        "op10_decontaminate": decontaminate.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_url_filter": url_filter.SQL,
+        "op7_warc": warc.SQL,
+        "op9_line_dedup": line_dedup.SQL,
+        "op10_decontaminate": decontaminate.SQL,
+    }
