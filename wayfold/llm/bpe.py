@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -89,24 +91,27 @@ class Codec:
         ids = [t.id for f in inner for t in self.inner.tokenize(f)]
         return ids + [t.id for t in self.last.tokenize(last)]
 
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
+    def chunk(self, chunk: str) -> array:
+        """The ids of a piece of normalised text without a blank: no pre-token reaches over one."""
+        return array("I", [i for w, _ in self.pre.pre_tokenize_str(chunk) for i in self.word(w)])
+
+    def encode(self, text: str) -> array:
+        ids = array("I")
         memo, get = self.memo, self.memo.get
         for piece in self.cut.split(text) if self.cut else [text]:
             if piece in self.special:
                 ids.append(self.special[piece])
                 continue
-            for w, _ in self.pre.pre_tokenize_str(self.normal.normalize_str(piece)) if piece else ():
+            for w in self.normal.normalize_str(piece).split(" ") if piece else ():
                 if (known := get(w)) is None:
                     if len(memo) >= self.most:
                         memo.clear()
-                    known = memo[w] = self.word(w)
+                    known = memo[w] = self.chunk(w) if w else array("I")
                 ids += known
         return ids
 
-    def decode(self, ids: list[int]) -> str:
-        tokens = self.tokens
-        return " ".join([tokens[i] for i in ids])
+    def decode(self, ids) -> str:
+        return " ".join(map(self.tokens.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -114,10 +119,15 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _little(ids: array) -> array:
+    if sys.byteorder == "big":
+        ids = ids[:]
+        ids.byteswap()
+    return ids
+
+
 def encoded(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
     """docs with n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded."""
-    import numpy as np
-
     path = path or default_path()
     ship(docs.sparkSession)
     own = docs.drop("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")
@@ -132,10 +142,10 @@ def encoded(docs: DataFrame, path: str | None = None, with_ids: bool = True) ->
                 ids = c.encode(text.as_py() or "")
                 decoded = c.decode(ids)
                 n.append(len(ids))
-                id_hash.append(hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest())
+                id_hash.append(hashlib.sha256(_little(ids).tobytes()).hexdigest())
                 text_hash.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if with_ids:
-                    all_ids.append(ids)
+                    all_ids.append(ids.tolist())
                     texts.append(decoded)
             new = [pa.array(n, pa.int64()), pa.array(id_hash, pa.string()), pa.array(text_hash, pa.string())]
             new += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())] if with_ids else []
