@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, line_dedup, quality_rules, toxicity, url_filter, warc
+from . import bpe, decontaminate, jaccard_join, line_dedup, quality_rules, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_bpe": bpe.query,
         "op6_toxicity": toxicity.query,
         "op7_warc": warc.query,
+        "op8_jaccard_join": jaccard_join.query,
         "op9_line_dedup": line_dedup.query,
         "op10_decontaminate": decontaminate.query,
     }
