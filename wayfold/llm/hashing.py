@@ -59,17 +59,19 @@ def shingles(words: list[bytes], hashes: WordHashes, n: int = 3) -> np.ndarray:
     return np.unique(grams(h, n))
 
 
-def pack(a: np.ndarray) -> bytes:
-    """Compressed 8-byte numbers; differences first if they are sorted."""
-    a = a.astype(U, copy=False)
-    d = np.empty_like(a)
-    if len(a):
+def pack(a: np.ndarray, delta: bool = True) -> bytes:
+    """Compressed 8-byte numbers, byte plane by byte plane; differences first for sorted ones."""
+    a = np.ascontiguousarray(a).astype(U, copy=False)
+    if delta and len(a):
+        d = np.empty_like(a)
         with np.errstate(over="ignore"):
             d[0], d[1:] = a[0], a[1:] - a[:-1]
-    return zstandard.ZstdCompressor(level=1).compress(d.view(np.uint8).reshape(-1, 8).T.tobytes())
+        a = d
+    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
-def unpack(b: bytes) -> np.ndarray:
+def unpack(b: bytes, delta: bool = True) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    a = np.ascontiguousarray(raw.reshape(8, -1).T).view(U).ravel()
     with np.errstate(over="ignore"):
-        return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(U).ravel(), dtype=U)
+        return np.cumsum(a, dtype=U) if delta else a

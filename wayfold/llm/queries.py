@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard_join, line_dedup, quality_rules, toxicity, url_filter, warc
+from . import bpe, decontaminate, jaccard_join, katz, line_dedup, quality_rules, toxicity, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.query,
+        "op2_katz": katz.query,
         "op3_url_filter": url_filter.query,
         "op4_bpe": bpe.query,
         "op6_toxicity": toxicity.query,
