@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard_join, katz, line_dedup, quality_rules, toxicity, url_filter, warc
+from . import bpe, decontaminate, jaccard_join, katz, line_dedup, quality_rules, suffix_dedup, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_katz": katz.query,
         "op3_url_filter": url_filter.query,
         "op4_bpe": bpe.query,
+        "op5_suffix_dedup": suffix_dedup.query,
         "op6_toxicity": toxicity.query,
         "op7_warc": warc.query,
         "op8_jaccard_join": jaccard_join.query,
