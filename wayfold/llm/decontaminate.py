@@ -152,3 +152,12 @@ SELECT dw.doc_id, CAST(len(a) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
 FROM dw LEFT JOIN covered ON dw.doc_id = covered.doc_id LEFT JOIN items ON dw.doc_id = items.doc_id
 """
+
+
+def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH, most_items: int = MOST_ITEMS) -> DataFrame:
+    """The rows of docs without a whole window of `width` words of any item, and with less than most_items items.
+
+    A single item of fewer words is no proof: its few words may stand in any text."""
+    x = F.col("leaks")
+    leaked = F.exists(x["spans"], lambda s: s["size"] >= width) | (F.size(x["items"]) >= most_items)
+    return matches(docs, items, width).where(~leaked).select(*[F.col(f"`{c}`") for c in docs.columns])

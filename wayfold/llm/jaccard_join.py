@@ -325,3 +325,11 @@ def near(docs: DataFrame, t: int = T, n: int = N, chunk: int = CHUNK) -> DataFra
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def one_of_each(docs: DataFrame, t: int = T, n: int = N, chunk: int = CHUNK) -> DataFrame:
+    """The rows of docs that no other document of their component precedes; of repeated rows all stay or go.
+
+    Empty documents and null ids are linked with nothing and stay."""
+    away = components(links(docs, signed(docs, t, n), t, n, chunk)).where("node <> component").select(F.col("node").alias("_away"))
+    return docs.join(small(away, BROADCAST_IDS), F.col("doc_id") == F.col("_away"), "left_anti")

@@ -116,3 +116,13 @@ SELECT doc_id, count(*) FILTER (c <> '') AS n_lines, count(*) FILTER (gone) AS n
   sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM kept GROUP BY doc_id
 """
+
+
+def cleaned(docs: DataFrame, **options) -> DataFrame:
+    """docs with the boilerplate cut from their texts, and n_chars, if there, counted again. No document goes."""
+    out, x = deduped(docs, **options), F.col("line_dedup")
+    changed = x["n_removed"] > 0
+    new = {"text": F.when(changed, x["kept_text"]).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.char_length(x["kept_text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])

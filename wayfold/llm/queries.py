@@ -5,8 +5,16 @@ from __future__ import annotations
 from . import bpe, decontaminate, jaccard_join, katz, line_dedup, quality_rules, suffix_dedup, toxicity, url_filter, warc
 
 
+def pipeline(spark, sf_dir: str):
+    """The repository's corpus pipeline over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": pipeline,
         "op1_quality_rules": quality_rules.query,
         "op2_katz": katz.query,
         "op3_url_filter": url_filter.query,
