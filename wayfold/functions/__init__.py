@@ -1 +1 @@
-
+"""Column factories: ids, fractions, tags, bits, geodesy."""

@@ -1 +1 @@
-
+"""Relational, graph, geometry and audit operators over DataFrames."""

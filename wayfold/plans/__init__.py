@@ -1 +1 @@
-
+"""Queries of the road-graph operators over the supplied tables."""

@@ -1 +1 @@
-
+"""Streaming forms of the operators that keep state for each key."""
