@@ -61,7 +61,7 @@ def capped_speed(*caps: Column) -> Column:
 
 
 def excepted(v: Column, namespaces: tuple[str, ...]) -> Column:
-    return F.coalesce(F.arrays_overlap(F.transform(F.split(v, ";"), F.trim), F.array(*map(F.lit, namespaces))), F.lit(False))
+    return F.coalesce(F.arrays_overlap(F.transform(F.split(v, ";"), lambda x: F.trim(x)), F.array(*map(F.lit, namespaces))), F.lit(False))
 
 
 def expected_duration(length_m: Column, speed_kmh: Column) -> Column:
