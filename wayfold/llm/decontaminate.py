@@ -80,11 +80,11 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     probe = written(probes(wins, freq), "probes")
     index = written(postings(docs, small(probe.select("term").distinct(), BROADCAST_WINDOWS)), "postings")
     found = candidates(index, probe).join(small(wins, BROADCAST_WINDOWS), "win")
-    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "terms", "items")).alias("found"))
-    joined = docs.join(found.withColumnRenamed("doc_id", "found_id"), F.col("doc_id") == F.col("found_id"), "left")
+    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "terms", "items")).alias("_leak_found"))
+    joined = docs.join(found.withColumnRenamed("doc_id", "_leak_id"), F.col("doc_id") == F.col("_leak_id"), "left")
 
     def verified(ws: Column) -> Column:
-        real = F.filter(F.coalesce("found", F.array().cast(found.schema["found"].dataType)), lambda c: F.slice(ws, c["start"] + 1, F.size(c["terms"])) == c["terms"])
+        real = F.filter(F.coalesce("_leak_found", F.array().cast(found.schema["_leak_found"].dataType)), lambda c: F.slice(ws, c["start"] + 1, F.size(c["terms"])) == c["terms"])
         spans = lambda c: F.sequence(c["start"], c["start"] + F.size(c["terms"]) - 1)
         return let(real, lambda r: F.struct(
             F.size(ws).cast("long").alias("n_words"),

@@ -70,15 +70,15 @@ def cuts(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHA
 
 def deduped(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, band: float = BAND) -> DataFrame:
     """docs with `line_dedup`, a struct: kept_text, n_lines, n_removed (of lines with a word)."""
-    found = cuts(docs, min_sites, max_share, band).withColumnRenamed("doc_id", "cut_id")
-    joined = docs.join(found, F.col("doc_id") == F.col("cut_id"), "left")
+    found = cuts(docs, min_sites, max_share, band).select(*[F.col(c).alias(f"_line_{c}") for c in ("doc_id", "cut_size", "cut")])
+    joined = docs.join(found, F.col("doc_id") == F.col("_line_doc_id"), "left")
 
     def cut(lines: Column) -> Column:
         h = lambda x: F.struct(*[k.alias(n) for k, n in zip(_key(_core(x)), ("h1", "h2"), strict=True)])
         worded = F.filter(lines, lambda x: _core(x) != "")
         size = let(worded, lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + F.char_length(_core(x))))
-        gone = F.col("cut").isNotNull() & (F.col("cut_size") <= max_share * size)
-        kept = F.when(gone, F.filter(lines, lambda x: (_core(x) == "") | ~F.array_contains(F.col("cut"), h(x)))).otherwise(lines)
+        gone = F.col("_line_cut").isNotNull() & (F.col("_line_cut_size") <= max_share * size)
+        kept = F.when(gone, F.filter(lines, lambda x: (_core(x) == "") | ~F.array_contains(F.col("_line_cut"), h(x)))).otherwise(lines)
         return let(kept, lambda k: F.struct(
             F.when(F.col("text").isNotNull(), F.array_join(k, "\n")).alias("kept_text"),
             F.size(worded).cast("long").alias("n_lines"),

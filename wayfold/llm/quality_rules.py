@@ -90,12 +90,12 @@ def repeat_words(ws: Column) -> Column:
     return let(F.slice(hashed, 1, F.greatest(F.size(ws) - 2, F.lit(0))), count)
 
 
-def measures(text: Column, w: Column, threshold: int = THRESHOLD) -> Column:
+def measures(text: Column, w: Column, threshold: int = THRESHOLD, n: int = BUCKETS) -> Column:
     """A struct of the base columns, n_grams, llr (the sum of weights, in millionths) and kept."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     long = lambda c, name: c.cast("long").alias(name)
     base = let(words(text), lambda ws: F.struct(long(F.size(ws), "n_words"), long(repeat_words(ws), "n_repeat_words")))
-    ratio = let(buckets(text), lambda b: F.struct(long(F.size(b), "n_grams"), F.aggregate(b, F.lit(0).cast("bigint"), lambda a, x: a + F.get(w, x)).alias("llr")))
+    ratio = let(buckets(text, n), lambda b: F.struct(long(F.size(b), "n_grams"), F.aggregate(b, F.lit(0).cast("bigint"), lambda a, x: a + F.get(w, x)).alias("llr")))
     dup = let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a)))
 
     def whole(x: Column) -> Column:
@@ -123,7 +123,7 @@ def judged(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, target_rows: in
     """docs with `quality`, the struct of measures()."""
     own = [F.col(f"`{c}`") for c in docs.columns]
     out = docs.withColumn("_w", weights(docs, labels, n, target_rows).scalar())
-    return out.select(*own, measures(_text(), F.col("_w"), threshold).alias("quality"))
+    return out.select(*own, measures(_text(), F.col("_w"), threshold, n).alias("quality"))
 
 
 def kept(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
