@@ -147,7 +147,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, lexi
     total = chosen.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     toxic, clean = float(total["t"] or 0), float(total["n"] - (total["t"] or 0))
     weight = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-    heavy = _counted(train).where(F.col("toxic") >= least).withColumn("w", weight).where("w >= 3").orderBy(F.desc("toxic"), "feature").limit(lexicon_rows)
+    heavy = _counted(train).where(F.col("toxic") >= least).withColumn("w", weight).where("toxic >= 20 * clean AND w >= 3").orderBy(F.desc("toxic"), "feature").limit(lexicon_rows)
     out = Lexicon()
     for r in heavy.collect():
         (out.stems if r["feature"].endswith("*") else out.words)[r["feature"].removesuffix("*")] = round(r["w"], 6)
