@@ -69,10 +69,6 @@ def interval_lookup(spark, d) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", fractions.containing_interval(breaks, F.col("o_totalprice")).alias("interval_no"))
 
 
-_LIMITS = """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '50' WHEN 1 THEN '30 mph;40' WHEN 2 THEN 'walk' WHEN 3 THEN ' 80;60 ' ELSE '' END AS maxspeed,
-  CASE p_partkey % 4 WHEN 0 THEN '3,5 t' WHEN 1 THEN '7500 kg' WHEN 2 THEN '12' ELSE 'none' END AS maxweight FROM part"""
-
-
 def _limits(spark, d) -> DataFrame:
     p, k, w = table(spark, d, "part"), F.col("p_partkey") % 5, F.col("p_partkey") % 4
     speed = F.when(k == 0, "50").when(k == 1, "30 mph;40").when(k == 2, "walk").when(k == 3, " 80;60 ").otherwise("")
@@ -80,9 +76,9 @@ def _limits(spark, d) -> DataFrame:
     return p.select("p_partkey", "p_size", speed.alias("maxspeed"), weight.alias("maxweight"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 50.0 WHEN 1 THEN 40.0 WHEN 3 THEN 60.0 END AS speed_kmh,
-  CASE p_partkey % 4 WHEN 0 THEN 3500.0 WHEN 1 THEN 7500.0 WHEN 2 THEN 12000.0 END AS weight_kg,
-  least(CASE p_partkey % 5 WHEN 0 THEN 50.0 WHEN 1 THEN 40.0 WHEN 3 THEN 60.0 END, 90.0, p_size * 2.0) AS capped FROM part""")
+@query("""SELECT p_partkey, speed_kmh, weight_kg, least(speed_kmh, 90.0::DOUBLE, p_size * 2.0::DOUBLE) AS capped FROM (SELECT p_partkey, p_size,
+  CASE p_partkey % 5 WHEN 0 THEN 50.0::DOUBLE WHEN 1 THEN 40.0::DOUBLE WHEN 3 THEN 60.0::DOUBLE END AS speed_kmh,
+  CASE p_partkey % 4 WHEN 0 THEN 3500.0::DOUBLE WHEN 1 THEN 7500.0::DOUBLE WHEN 2 THEN 12000.0::DOUBLE END AS weight_kg FROM part)""")
 def parse_limits(spark, d) -> DataFrame:
     speed = F.round(tags.numeric_speed(F.col("maxspeed")), 6)
     return _limits(spark, d).select("p_partkey", speed.alias("speed_kmh"), F.round(tags.dimension(F.col("maxweight"), "weight"), 6).alias("weight_kg"), tags.capped_speed(speed, F.lit(90.0), F.col("p_size") * 2.0).alias("capped"))
