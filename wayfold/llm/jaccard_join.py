@@ -219,31 +219,36 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], t: int = T) -> list[tuple[in
     return [(int(ids[i]), int(ids[j])) for i, j in Join(ordered(sets), sizes, t).run()]
 
 
+def _set_id(print_: bytes) -> int:
+    return int.from_bytes(print_[:8], "little", signed=True)
+
+
 def signed(docs: DataFrame, t: int = T, n: int = N) -> DataFrame:
-    """A written table of two kinds of rows: part -1 for each document (doc_id, n_shingles, set_hash), and
-    else packed signatures with their documents."""
+    """A written table of two kinds of rows: part -1 for each document (doc_id, n_shingles, set_hash, set_id), and
+    else packed signatures with the ids of their sets (half of the hash): copies sign as one."""
     ship(docs.sparkSession)
     deal = max(partitions(docs.sparkSession), docs.count() * 128 // SIGNATURES_PER_PARTITION + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        names = ["part", "doc_id", "n_shingles", "set_hash", "keys", "ids"]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        names = ["part", "doc_id", "n_shingles", "set_hash", "set_id", "keys", "ids"]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
 
         def rows(*columns) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, types, strict=True)], names=names)
 
         for b in batches:
-            ids, sizes, prints, keys, owners = b.column("doc_id").to_pylist(), [], [], [], []
+            ids, sizes, prints, keys, owners, done = b.column("doc_id").to_pylist(), [], [], [], [], set()
             for doc, text in zip(ids, b.column("text"), strict=True):
                 s = shingles(split_words(text.as_py()), hashes, n)
                 sizes.append(len(s))
                 prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                if len(s) and doc is not None:
+                if len(s) and doc is not None and prints[-1] not in done:
+                    done.add(prints[-1])
                     keys.append(signatures(s, t))
-                    owners.append(np.full(len(keys[-1]), doc, np.int64))
+                    owners.append(np.full(len(keys[-1]), _set_id(prints[-1]), np.int64))
             none = [None] * len(ids)
-            yield rows([-1] * len(ids), ids, sizes, prints, none, none)
+            yield rows([-1] * len(ids), ids, sizes, prints, [x and _set_id(x) for x in prints], none, none)
             if keys:
                 k, o = np.concatenate(keys), np.concatenate(owners)
                 part = k % U(deal)
@@ -252,14 +257,14 @@ def signed(docs: DataFrame, t: int = T, n: int = N) -> DataFrame:
                 cuts = [*np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist(), len(k)]
                 got = [(int(part[x]), pack(k[x:y]), pack(o[x:y])) for x, y in zip(cuts, cuts[1:], strict=False)]
                 none = [None] * len(got)
-                yield rows([p for p, _, _ in got], none, none, none, [x for _, x, _ in got], [x for _, _, x in got])
+                yield rows([p for p, _, _ in got], none, none, none, none, [x for _, x, _ in got], [x for _, _, x in got])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "part int, doc_id bigint, n_shingles bigint, set_hash binary, keys binary, ids binary")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "part int, doc_id bigint, n_shingles bigint, set_hash binary, set_id bigint, keys binary, ids binary")
     return written(out, "signed")
 
 
 def ties(table: DataFrame) -> DataFrame:
-    """a, b: each document with the least one under each of its signatures, where they differ."""
+    """a, b: each set with the least one under each of its signatures, where they differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids = [], []
@@ -293,12 +298,13 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 def links(docs: DataFrame, signed_rows: DataFrame, t: int = T, n: int = N, chunk: int = CHUNK) -> DataFrame:
     """a, b: links that connect what all links connect. Identical sets are tied to the least of their documents."""
-    own = signed_rows.where("part = -1 AND doc_id IS NOT NULL AND set_hash IS NOT NULL").select("doc_id", "set_hash")
-    least = own.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    same = written(own.join(least, "set_hash").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "copies")
-    rep = lambda df, c: df.join(same.select(F.col("a").alias("_a"), F.col("b").alias("_b")), F.col(c) == F.col("_a"), "left").withColumn(c, F.coalesce("_b", c)).drop("_a", "_b")
-    tied = rep(rep(ties(signed_rows), "a"), "b").where("a <> b").distinct()
-    groups = written(tied.select(F.col("b").alias("g"), F.col("a").alias("doc_id")).unionByName(tied.select(F.col("b").alias("g"), F.col("b").alias("doc_id")).distinct()), "groups")
+    own = signed_rows.where("part = -1 AND doc_id IS NOT NULL AND set_hash IS NOT NULL").select("doc_id", "set_hash", "set_id")
+    reps = written(own.groupBy("set_hash", "set_id").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "reps")
+    copied = reps.where("rep < last").select("set_hash", "rep")
+    same = own.join(copied, "set_hash").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    tied = written(ties(signed_rows), "ties")
+    members = tied.select(F.col("b").alias("g"), F.col("a").alias("set_id")).unionByName(tied.select(F.col("b").alias("g"), F.col("b").alias("set_id")).distinct())
+    groups = written(members.join(reps.select("set_id", F.col("rep").alias("doc_id")), "set_id").select("g", "doc_id"), "groups")
     sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
     members = groups.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(members, BROADCAST_IDS), "doc_id", "left_semi")
