@@ -339,3 +339,20 @@ def one_of_each(docs: DataFrame, t: int = T, n: int = N, chunk: int = CHUNK) ->
     Empty documents and null ids are linked with nothing and stay."""
     away = components(links(docs, signed(docs, t, n), t, n, chunk)).where("node <> component").select(F.col("node").alias("_away"))
     return docs.join(small(away, BROADCAST_IDS), F.col("doc_id") == F.col("_away"), "left_anti")
+
+
+SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS a FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(a[i : i + 2], ' ') AS g
+  FROM (SELECT doc_id, a, unnest(generate_series(1, greatest(len(a) - 2, 1))) AS i FROM w WHERE len(a) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * k >= 90 * (na.n + nb.n - k)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a)
+SELECT d.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(root) AS component_id
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN r ON d.doc_id = node GROUP BY d.doc_id
+"""

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let, table, words
+from .sql import crc32
 
 BUCKETS = 1 << 16
 TARGET_ROWS = 20_000
@@ -134,3 +135,34 @@ def kept(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return judged(docs, table(spark, sf_dir, "labels")).select("doc_id", *[F.col("quality")[c].alias(c) for c in RESULT])
+
+
+SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
+w AS (SELECT r, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS a FROM docs),
+win AS (SELECT r, i, array_to_string(a[i : i + 2], ' ') AS g FROM (SELECT r, a, unnest(generate_series(1, len(a) - 2)) AS i FROM w WHERE len(a) > 2)),
+twice AS (SELECT r, g FROM win GROUP BY ALL HAVING count(*) > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM win JOIN twice USING (r, g)) GROUP BY r),
+dup AS (SELECT r, len(l) - len(list_distinct(l)) AS n FROM (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM docs)),
+tok AS (SELECT doc_id, r, regexp_extract_all(t, '{TOKEN}') AS k FROM docs),
+code AS (SELECT k, {{crc}} AS c FROM (SELECT DISTINCT unnest(k) AS k FROM tok)),
+each AS (SELECT doc_id, r, i, c FROM (SELECT doc_id, r, unnest(k) AS k, generate_subscripts(k, 1) AS i FROM tok) JOIN code USING (k)),
+gram AS (
+  SELECT doc_id, r, c & {BUCKETS - 1} AS b FROM each
+  UNION ALL SELECT doc_id, r, (c * 31 + n) & {BUCKETS - 1} FROM (SELECT doc_id, r, c, lead(c) OVER (PARTITION BY r ORDER BY i) AS n FROM each) WHERE n IS NOT NULL
+),
+target AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+cnt AS (SELECT b, count(*) AS raw, count(target.doc_id) AS tgt FROM gram LEFT JOIN target USING (doc_id) GROUP BY b),
+tot AS (SELECT sum(raw) AS R, sum(tgt) AS T FROM cnt),
+wt AS (SELECT b, CAST(round((ln((tgt + {SMOOTH}) / (T + {SMOOTH * BUCKETS})) - ln((raw + {SMOOTH}) / (R + {SMOOTH * BUCKETS}))) * 1e6) AS BIGINT) AS v FROM cnt, tot),
+llr AS (SELECT r, count(*) AS n, sum(v) AS s FROM gram JOIN wt USING (b) GROUP BY r),
+base AS (
+  SELECT doc_id, CAST(len(a) AS BIGINT) AS n_words, CAST(length(array_to_string(a, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(translate(t, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols, CAST(dup.n AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(coalesce(llr.n, 0) AS BIGINT) AS n_grams, CAST(coalesce(llr.s, 0) AS BIGINT) AS llr
+  FROM docs JOIN w USING (r) JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN llr USING (r)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND llr >= {THRESHOLD} * n_grams AS kept
+FROM base
+""".replace("{crc}", crc32("k"))

@@ -30,8 +30,10 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_quality_rules": quality_rules.SQL,
         "op3_url_filter": url_filter.SQL,
         "op7_warc": warc.SQL,
+        "op8_jaccard_join": jaccard_join.SQL,
         "op9_line_dedup": line_dedup.SQL,
         "op10_decontaminate": decontaminate.SQL,
     }
