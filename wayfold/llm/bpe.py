@@ -23,13 +23,16 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import ship, table
 
-MEMO = 400_000
+MEMO = 200_000
+#: Rows whose ids and texts are held at once.
+ROWS = 500
 
 
 def default_path() -> str:
@@ -136,7 +139,7 @@ def encoded(docs: DataFrame, path: str | None = None, with_ids: bool = True) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
+        for batch in (b.slice(x, ROWS) for b in batches for x in range(0, b.num_rows, ROWS)):
             n, id_hash, text_hash, all_ids, texts = [], [], [], [], []
             for text in batch.column("text"):
                 ids = c.encode(text.as_py() or "")
@@ -145,7 +148,7 @@ def encoded(docs: DataFrame, path: str | None = None, with_ids: bool = True) ->
                 id_hash.append(hashlib.sha256(_little(ids).tobytes()).hexdigest())
                 text_hash.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if with_ids:
-                    all_ids.append(ids.tolist())
+                    all_ids.append(np.frombuffer(ids, np.uint32).astype(np.int32))
                     texts.append(decoded)
             new = [pa.array(n, pa.int64()), pa.array(id_hash, pa.string()), pa.array(text_hash, pa.string())]
             new += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())] if with_ids else []
