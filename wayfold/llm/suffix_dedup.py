@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,19 +41,25 @@ from .hashing import U, mix, pack, unpack
 from .katz import _dealt, _zip
 
 SIZE, K = 100, 32
-BLOCK_BYTES = 4 << 20
-PART_BYTES = 32 << 20
+BLOCK_BYTES = 1 << 20
+PART_BYTES = 16 << 20
 LAST = np.int64(2**63 - 1)
 BASE = 0x9E3779B97F4A7C15 | 1
-_BITS = 27
+_BITS = 32
 _TABLE = mix(np.arange(1, 257).astype(U))
 
 
+@lru_cache(maxsize=1)
+def _all_powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(1 << bits, U(BASE)), np.full(1 << bits, U(pow(BASE, -1, 1 << 64)))
+    up[0], down[0] = 1, 1
+    return np.multiply.accumulate(up, out=up), np.multiply.accumulate(down, out=down)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and BASE^-i modulo 2^64."""
-    up, down = np.full(n, U(BASE)), np.full(n, U(pow(BASE, -1, 1 << 64)))
-    up[:1], down[:1] = 1, 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """BASE^i and BASE^-i modulo 2^64, the last table kept."""
+    up, down = _all_powers(max(20, n.bit_length()))
+    return up[:n], down[:n]
 
 
 class Hashes:
@@ -161,8 +168,8 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([base + n]), pa.array([int(sizes.sum())]), *[pa.array([x], pa.binary()) for x in blobs]], names=["block", "bytes", "ids", "null", "sizes", "text"])
 
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            for doc, text in zip(b.column("doc_id"), b.column("text"), strict=True):
+                doc, data = doc.as_py(), (text.as_py() or "").encode("utf-8", "surrogatepass")
                 if rows and size + len(data) > block_bytes:
                     yield block()
                     rows, size, n = [], 0, n + 1
