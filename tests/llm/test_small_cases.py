@@ -155,6 +155,19 @@ def test_bloom_has_no_false_negatives_and_the_join_no_false_positives(spark):
     assert got.where("maybe_listed AND page_id % 3 <> 0").count() > 0
 
 
+def test_url_filter_with_a_list_on_supplied_pages(spark):
+    path = "/root/testdata/sf0.1/pages.parquet"
+    if not __import__("os").path.exists(path):
+        pytest.skip("no tables here")
+    pages = spark.read.parquet(path).select("page_id", "url")
+    host, _ = url_filter.host_and_path(F.col("url"))
+    listed = {r["page_id"] for r in pages.where(host.rlike(r"(^|\.)adult-")).collect()}
+    got = url_filter.judge(pages, pages.where(F.col("page_id").isin(sorted(listed))).select("url")).collect()
+    assert listed and listed <= {r["page_id"] for r in got if r["maybe_listed"]}
+    unruled = [r for r in got if r["rule"] is None]
+    assert {r["page_id"] for r in unruled if r["verdict"] == "block"} == listed & {r["page_id"] for r in unruled} != set()
+
+
 def test_bpe(spark, docs, rows, empty):
     from tokenizers import Tokenizer
 
