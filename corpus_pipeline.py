@@ -6,7 +6,7 @@ return the columns of documents.
 
 1. quality_rules: documents that the rules reject go.
 2. line_dedup: boilerplate lines are cut from the texts; no document goes.
-3. jaccard_join: of each component of near copies the document with the least doc_id stays.
+3. jaccard_join: of each component of near copies (five-word shingles, Jaccard 0.8 or more) the document with the least doc_id stays.
 4. decontaminate: documents with a benchmark window go.
 5. bpe: a row of token ids and digests for each document that is left.
 """
@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from wayfold.llm import bpe, decontaminate, jaccard_join, line_dedup, quality_rules
 from wayfold.llm.common import table, written
 
+#: Near copies of the stage: 100 * intersection >= COPY_T * union of shingles of COPY_N words. op8's query has its own contract.
+COPY_T, COPY_N = 80, 5
+
 
 def _rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.kept(docs, table(spark, sf_dir, "labels"))
@@ -28,7 +31,7 @@ def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, t=COPY_T, n=COPY_N)
 
 
 def _leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,12 @@
 """The pipeline's stages on a small set of tables, against the operators' own brute-force rules."""
 
+import random
+
+import numpy as np
+
 import corpus_pipeline
 from wayfold.llm.common import new_path
+from wayfold.llm.jaccard_join import signatures
 
 
 def test_stages(spark):
@@ -18,3 +23,30 @@ def test_stages(spark):
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, path).collect()}
     assert set(got) == set(range(24)) and all(r["n_tokens"] == len(r["ids"]) > 0 for r in got.values())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "jaccard_join", "decontaminate", "bpe"]
+
+
+def test_near_copies_are_of_five_words_and_four_fifths(spark):
+    base = [f"w{i}" for i in range(100)]
+    edited = lambda *at: " ".join("edited" + w if i in at else w for i, w in enumerate(base))
+    texts = {1: " ".join(base), 2: edited(30, 70), 3: edited(20, 50, 80), 4: None, 5: ""}
+
+    def jaccard(i, n):
+        a, b = ({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} for w in (texts[1].split(), texts[i].split()))
+        return len(a & b) / len(a | b)
+
+    assert jaccard(2, 5) > 0.8 > jaccard(3, 5) and jaccard(2, 3) < 0.9
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert {r["doc_id"] for r in corpus_pipeline._copies(spark, docs, "").collect()} == {1, 3, 4, 5}
+
+
+def test_signatures_at_four_fifths_are_few_and_lose_no_link():
+    draw = np.random.default_rng(5)
+    assert len(signatures(np.unique(draw.integers(0, 1 << 63, 5000).astype(np.uint64)), 80)) < 4 * 5000
+    r = random.Random(6)
+    for size in [*range(1, 40), 90, 300, 1000] * 5:
+        a = set(draw.integers(0, 1 << 63, size).tolist())
+        gone, new = r.randint(0, size // 9), r.randint(0, size // 9)
+        b = set(sorted(a)[gone:]) | set(draw.integers(0, 1 << 63, new).tolist())
+        if 100 * len(a & b) >= 80 * len(a | b):
+            x, y = (set(signatures(np.array(sorted(s), np.uint64), 80).tolist()) for s in (a, b))
+            assert x & y

@@ -4,7 +4,8 @@ Which documents meet. Sets A and B with |A & B| >= t |A | B| differ in at most (
 shingles. Shingles are dealt by hash to one part more than that, so at least one part of both is the same:
 its hash is a signature. Sizes fall in classes whose bounds grow by 1/t, and a set signs for its own class and
 the next one, so linked sets sign with equal parts. A part without shingles says nothing; a set with empty
-parts therefore signs again with more parts, until non-empty ones must agree. This loses no link and,
+parts therefore signs again with more parts, until non-empty ones must agree; how many more, step by step, depends on
+the class only, so two linked sets share every step up to the first at which one of them stops. This loses no link and,
 unlike single shingles, is not shared by unrelated documents, however frequent their words.
 
 Signatures travel sorted and compressed, and the documents under one signature are only tied to the least of
@@ -28,6 +29,7 @@ whole. Extra columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,7 +62,9 @@ def signatures(s: np.ndarray, t: int = T) -> np.ndarray:
     k, *tops = size_class(len(s), t)
     out = []
     for of, top in zip((k, k + 1), tops, strict=True):
-        least, level = 2 * top * (100 - t) // (100 + t) + 1, 0
+        least = 2 * top * (100 - t) // (100 + t) + 1
+        # the empty parts that the least set of both classes leaves, on average; all sets of a class take the same levels
+        level = int(least * math.exp(-top * t * t / 10_000 / least))
         while True:
             parts, salt = least + level, U((of * 4096 + level) * 2654435761 + 1)
             where = (mix(s ^ mix(salt)) >> U(32)) % U(parts)
@@ -72,7 +76,7 @@ def signatures(s: np.ndarray, t: int = T) -> np.ndarray:
                 out.append(mix(sums ^ mix(at[first] * U(0x9E3779B97F4A7C15) + salt)))
             if parts - len(first) <= level:
                 break
-            level += 1
+            level += 1 + level // 4
     return np.concatenate(out)
 
 
@@ -252,7 +256,8 @@ def signed(docs: DataFrame, t: int = T, n: int = N) -> DataFrame:
             if keys:
                 k, o = np.concatenate(keys), np.concatenate(owners)
                 part = k % U(deal)
-                by = np.lexsort((k, part))
+                # by owner, whose differences are mostly 0: a quarter fewer bytes than by key
+                by = np.lexsort((k, o, part))
                 k, o, part = k[by], o[by], part[by]
                 cuts = [*np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist(), len(k)]
                 got = [(int(part[x]), pack(k[x:y]), pack(o[x:y])) for x, y in zip(cuts, cuts[1:], strict=False)]
