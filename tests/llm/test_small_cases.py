@@ -95,6 +95,15 @@ def test_quality_rules(spark, docs, rows, empty):
     assert quality_rules.kept(docs, labels.where("false")).columns == docs.columns
 
 
+def test_every_trusted_label_is_counted(spark):
+    docs = spark.range(20_100).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    # a target equal to the corpus has no weight
+    assert set(quality_rules.weights(docs, labels, n=256).first()["w"]) == {0}
+    for bound in (20_100, 20_099):
+        assert set(quality_rules.weights(docs, labels, n=256, broadcast_rows=bound).first()["w"]) == {0}
+
+
 def test_repeated_windows(spark):
     texts = ["a b c a b c", "a a a a", "x y z", "a b c d a b c x b c d"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")

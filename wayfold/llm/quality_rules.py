@@ -7,10 +7,11 @@ so that every sum is exact and the verdict does not depend on the order of rows.
 A document's score is the mean weight of its n-grams; it is kept if that reaches a
 fixed threshold and no base rule rejects it.
 
-The only thing sampled is the trusted target: at most `target_rows` labelled
-rows. The raw multinomial counts all documents. The weights are one array of
-`buckets` numbers whatever the size of the corpus, so they go to the executors
-as a scalar subquery; no document is shuffled.
+Nothing is sampled: the trusted target is every labelled row of quality 1, the raw
+multinomial counts all documents. The target's ids are broadcast up to a counted bound
+(`broadcast_rows`); beyond it documents are shuffled to them. The weights are one array
+of `buckets` numbers whatever the size of the corpus, so they go to the executors as a
+scalar subquery.
 
 Nulls: a null text is an empty one: no words, no n-grams, base_failed. Rows that
 repeat a doc_id are judged one by one. A null doc_id is judged, and never in the
@@ -22,11 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, table, words
+from .common import let, small, table, words
 from .sql import crc32
 
 BUCKETS = 1 << 16
-TARGET_ROWS = 20_000
+BROADCAST_ROWS = 500_000
 SMOOTH = 1.0
 #: Millionths of a nat for each n-gram.
 THRESHOLD = -500_000
@@ -51,11 +52,10 @@ def buckets(text: Column, n: int = BUCKETS) -> Column:
     return let(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.crc32), grams)
 
 
-def weights(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, target_rows: int = TARGET_ROWS) -> DataFrame:
+def weights(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row with the array of the n buckets' weights."""
-    target = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    target = target.orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id").limit(target_rows).select(F.col("doc_id").alias("t_id"))
-    flagged = docs.select("doc_id", "text").join(F.broadcast(target), F.col("doc_id") == F.col("t_id"), "left")
+    target = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("t_id")).distinct()
+    flagged = docs.select("doc_id", "text").join(small(target, broadcast_rows), F.col("doc_id") == F.col("t_id"), "left")
     grams = flagged.select(F.col("t_id").isNotNull().cast("long").alias("t"), F.explode_outer(buckets(_text(), n)).alias("b"))
     counted = grams.where("b IS NOT NULL").groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
     every = docs.sparkSession.range(n).join(counted, F.col("id") == F.col("b"), "left")
@@ -120,10 +120,10 @@ def measures(text: Column, w: Column, threshold: int = THRESHOLD, n: int = BUCKE
 RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_grams", "llr")
 
 
-def judged(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, target_rows: int = TARGET_ROWS, threshold: int = THRESHOLD) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, broadcast_rows: int = BROADCAST_ROWS, threshold: int = THRESHOLD) -> DataFrame:
     """docs with `quality`, the struct of measures()."""
     own = [F.col(f"`{c}`") for c in docs.columns]
-    out = docs.withColumn("_w", weights(docs, labels, n, target_rows).scalar())
+    out = docs.withColumn("_w", weights(docs, labels, n, broadcast_rows).scalar())
     return out.select(*own, measures(_text(), F.col("_w"), threshold, n).alias("quality"))
 
 
