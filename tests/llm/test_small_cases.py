@@ -326,6 +326,14 @@ def test_line_dedup(spark, empty):
     assert line_dedup.deduped(empty).count() == 0
 
 
+def test_repeated_rows_are_cut_as_one_alone_would_be(spark):
+    text = lambda i, k: "Shared footer line\n" + "\n".join(f"own text {i} {j}" for j in range(k))
+    rows = [(i, text(i, 5), f"s{i}") for i in range(12)] + [(0, text(0, 5), "s0")] * 2 + [(1, text(1, 1), "s1")]
+    got = line_dedup.deduped(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), min_sites=10).collect()
+    # a footer of 18 characters: under half of the text beside five own lines, over half beside one
+    assert len(got) == 15 and all(r["line_dedup"]["n_removed"] == int(r["text"].count("own") == 5) for r in got)
+
+
 def test_decontaminate(spark, docs, rows, empty):
     some = [" ".join(words(t)[k : k + 12][j].decode() for j in range(12)) for k, (_, t, *_) in enumerate(rows[:20]) if len(words(t)) > 40]
     items = [(i, x.upper() if i % 2 else x) for i, x in enumerate(some)] + [(90, "Word"), (91, None), (92, ""), (93, "never seen zzzz"), (None, some[0]), (94, some[0]), (94, some[0])]

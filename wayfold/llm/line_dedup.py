@@ -10,8 +10,8 @@ A document in which boilerplate makes up more than `max_share` of the characters
 copy of a page rather than a page with boilerplate: it is left to document-level deduplication.
 
 Nulls: a null text has no lines and stays null; a null source is a site of its own. Rows that repeat
-a doc_id with the same text are cut alike; a doc_id with several texts loses a line only where the
-text at hand has that line. A row with a null doc_id counts for the spread and is not cut.
+a doc_id are judged one by one, each by the share of its own lines; a doc_id with several texts loses
+a line only where the text at hand has that line. A row with a null doc_id counts for the spread and is not cut.
 """
 
 from __future__ import annotations
@@ -65,25 +65,30 @@ def cuts(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHA
     """doc_id and the hashes (array of struct h1, h2) of the lines to cut, for the documents that have any."""
     rows = occurrences(docs).where("doc_id IS NOT NULL")
     hits = rows.join(boilerplate(occurrences(docs), min_sites, band), ["h1", "h2"], "left_semi")
-    return hits.groupBy("doc_id").agg(F.sum("size").alias("cut_size"), F.collect_set(F.struct("h1", "h2")).alias("cut"))
+    return hits.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("cut"))
 
 
 def deduped(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, band: float = BAND) -> DataFrame:
     """docs with `line_dedup`, a struct: kept_text, n_lines, n_removed (of lines with a word)."""
-    found = cuts(docs, min_sites, max_share, band).select(*[F.col(c).alias(f"_line_{c}") for c in ("doc_id", "cut_size", "cut")])
+    found = cuts(docs, min_sites, max_share, band).select(*[F.col(c).alias(f"_line_{c}") for c in ("doc_id", "cut")])
     joined = docs.join(found, F.col("doc_id") == F.col("_line_doc_id"), "left")
 
     def cut(lines: Column) -> Column:
         h = lambda x: F.struct(*[k.alias(n) for k, n in zip(_key(_core(x)), ("h1", "h2"), strict=True)])
-        worded = F.filter(lines, lambda x: _core(x) != "")
-        size = let(worded, lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + F.char_length(_core(x))))
-        gone = F.col("_line_cut").isNotNull() & (F.col("_line_cut_size") <= max_share * size)
-        kept = F.when(gone, F.filter(lines, lambda x: (_core(x) == "") | ~F.array_contains(F.col("_line_cut"), h(x)))).otherwise(lines)
-        return let(kept, lambda k: F.struct(
-            F.when(F.col("text").isNotNull(), F.array_join(k, "\n")).alias("kept_text"),
-            F.size(worded).cast("long").alias("n_lines"),
-            (F.size(lines) - F.size(k)).cast("long").alias("n_removed"),
-        ))
+        hit = lambda x: F.coalesce((_core(x) != "") & F.array_contains(F.col("_line_cut"), h(x)), F.lit(False))
+        total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x["size"])
+
+        def judged(a: Column) -> Column:
+            gone = total(F.filter(a, lambda x: x["hit"])) <= max_share * total(a)
+            kept = F.when(gone, F.filter(a, lambda x: ~x["hit"])).otherwise(a)
+            return let(kept, lambda k: F.struct(
+                F.when(F.col("text").isNotNull(), F.array_join(F.transform(k, lambda x: x["line"]), "\n")).alias("kept_text"),
+                F.size(F.filter(a, lambda x: x["size"] > 0)).cast("long").alias("n_lines"),
+                (F.size(a) - F.size(k)).cast("long").alias("n_removed"),
+            ))
+
+        each = F.transform(lines, lambda x: F.struct(x.alias("line"), F.char_length(_core(x)).alias("size"), hit(x).alias("hit")))
+        return let(each, judged)
 
     own = [F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*own, let(_lines(F.col("text")), cut).alias("line_dedup"))
