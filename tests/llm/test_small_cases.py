@@ -198,8 +198,10 @@ def test_forced_boundaries_cut_nothing_that_merges():
     assert c.word(word) == [t.id for t in c.last.tokenize(word)]
 
 
-def test_suffix_dedup(spark, docs, rows, empty):
-    got = suffix_dedup.deduped(docs, size=40, k=12, block_bytes=3000, with_text=True).collect()
+@pytest.mark.parametrize("piece", [1 << 20, 700])
+def test_suffix_dedup(spark, docs, rows, empty, piece, monkeypatch):
+    monkeypatch.setattr(suffix_dedup.Runs.__init__, "__defaults__", (512,))
+    got = suffix_dedup.deduped(docs, size=40, k=12, block_bytes=3000, with_text=True, piece_bytes=piece).collect()
     seen, want = set(), []
     for i, t, *_ in sorted(rows, key=lambda r: r[0]):
         b = (t or "").encode()
@@ -214,6 +216,28 @@ def test_suffix_dedup(spark, docs, rows, empty):
     assert suffix_dedup.deduped(empty).count() == 0
 
 
+def test_runs_do_not_depend_on_segments_but_for_their_cuts():
+    import numpy as np
+
+    data = bytes(np.random.default_rng(3).integers(97, 100, 5000).astype(np.uint8))
+    sizes = np.array([3000, 30, 1970])
+    starts = lambda r: sorted(p for x, y in zip(r.lo, r.hi) for p in range(x, y + 1))
+    one, many = suffix_dedup.Runs(data, sizes, 40, 12), suffix_dedup.Runs(data, sizes, 40, 12, 64)
+    assert starts(one) == starts(many) == [*range(2961), *range(3030, 4961)]
+    begin, prints = many.windows(np.arange(len(many.at)))
+    assert (begin == one.windows(np.arange(len(one.at)))[0]).all() and len(set(prints)) == len({data[p : p + 40] for p in begin})
+
+
+def test_a_very_long_text_is_deduped_in_pieces(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    own = "".join(map(chr, r.integers(97, 123, 5_000_000)))
+    docs = spark.createDataFrame([(1, own + own[1_000_000:1_500_000] + "!"), (2, "x" + own[4_000_000:] + "?")], "doc_id bigint, text string")
+    got = {x["doc_id"]: tuple(x)[1:4] for x in suffix_dedup.deduped(docs).collect()}
+    assert got == {1: (5_500_001, 500_000, 1), 2: (1_000_002, 1_000_000, 1)}
+
+
 def test_family_merges_geometrically():
     import numpy as np
 
