@@ -120,7 +120,8 @@ class Runs:
         first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
         at, lo, hi = anchor[first], p[first], p[np.r_[first[1:] - 1, len(p) - 1]]
         shape = (at - lo).astype(U) << U(32) | (hi - lo).astype(U)
-        return at + begin, lo + begin, hi + begin, grams[at], mix(hashes.of(lo, hi + size) ^ mix(shape + U(1)))
+        # an anchor is the least of its neighbours: mixed again, its hash is spread over all partitions
+        return at + begin, lo + begin, hi + begin, mix(grams[at] + U(1)), mix(hashes.of(lo, hi + size) ^ mix(shape + U(1)))
 
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and fingerprints of the windows of some anchors (in ascending order)."""
