@@ -31,11 +31,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more: its cleaner waits for the driver's garbage collection."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df as a table in the shared folder: it cuts the lineage, and a lost executor costs no recomputation."""
-    path = new_path(df.sparkSession, name)
+    spark, schema, path = df.sparkSession, df.schema, new_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
 
 
 def small(df: DataFrame, most: int) -> DataFrame:

@@ -16,8 +16,8 @@ its size as long as there is one; equal entries meet in a merge and the earlier
 is then scanned against each block's array to answer it. An array sorted by prints finds the same matches of
 `size` bytes as one in lexicographic order.
 
-Two independent 64-bit prints must agree before a byte goes: the k-gram's and the context's, or the window's and its
-anchor's. Windows that agree in the first and differ in the second all stay.
+Two prints must agree before a byte goes: 64 bits of the k-gram and 64 of the context, or 64 of the window and 32 of
+its anchor. Windows that agree in the first and differ in the second all stay.
 
 A passage or line that a third of all documents hold is one entry of each block, and its edges, where contexts
 differ, are spread by the prints of their windows. All intermediate data are written tables.
@@ -282,7 +282,7 @@ def _windows(b: Block, back: np.ndarray, several: np.ndarray) -> tuple[np.ndarra
     """Distinct windows of the runs whose contexts differ, their first place, all starts, each one's window and its anchor's hash."""
     which = np.flatnonzero(several[back]) if len(back) else np.zeros(0, np.int64)
     begin, prints = b.runs.windows(which)
-    lane = np.repeat(b.runs.keys[which], b.runs.hi[which] - b.runs.lo[which] + 1)
+    lane = np.repeat(b.runs.keys[which] >> U(32), b.runs.hi[which] - b.runs.lo[which] + 1)
     distinct, first, again = np.unique(prints, return_index=True, return_inverse=True)
     return distinct, first, begin, again.ravel(), lane
 
