@@ -39,9 +39,9 @@ def release(spark: SparkSession) -> None:
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df as a table in the shared folder: it cuts the lineage, and a lost executor costs no recomputation."""
     spark, schema, path = df.sparkSession, df.schema, new_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    del df
+    # of the step before: what has only just ended is still in the queue of Spark's listeners
     release(spark)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -273,10 +273,10 @@ def evaluated(rows: DataFrame, answers: DataFrame, model: Model, deal: int) -> D
     return left.unionByName(right).groupBy("block").applyInPandas(run, MIDDLE)
 
 
-def _zip(b: bytes) -> bytes:
+def _zip(b: bytes, level: int = 1) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(b)
+    return zstandard.ZstdCompressor(level=level).compress(b)
 
 
 def weights(middle: DataFrame, model: Model) -> DataFrame:

@@ -51,6 +51,8 @@ PIECE_BYTES = 1 << 20
 PART_BYTES = 16 << 20
 #: Window starts that are hashed at once: some 100 bytes of memory for each.
 SEGMENT = 1 << 17
+#: Texts travel three times and are compressed once.
+TEXT_LEVEL = 6
 LAST = np.int64(2**63 - 1)
 BASE = 0x9E3779B97F4A7C15 | 1
 _BITS = 32
@@ -188,7 +190,7 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, piece_bytes: int = P
             pieces.sort(key=lambda r: r[0])
             columns = {n: np.array([int(p[i]) for p in pieces], np.int64) for i, n in enumerate(LISTS[:-1])}
             columns["sizes"] = np.array([len(p[-1]) for p in pieces], np.int64)
-            blobs = [pack(columns[n], False) for n in LISTS] + [_zip(b"".join(p[-1] for p in pieces))]
+            blobs = [pack(columns[n], False) for n in LISTS] + [_zip(b"".join(p[-1] for p in pieces), TEXT_LEVEL)]
             names = [x.split()[0] for x in BLOCK.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([base + blocks_]), pa.array([int(columns["mine"].sum())]), *[pa.array([x], pa.binary()) for x in blobs]], names=names)
 
