@@ -170,7 +170,7 @@ def test_url_filter_with_a_list_on_supplied_pages(spark):
         pytest.skip("no tables here")
     pages = spark.read.parquet(path).select("page_id", "url")
     host, _ = url_filter.host_and_path(F.col("url"))
-    listed = {r["page_id"] for r in pages.where(host.rlike(r"(^|\.)adult-")).collect()}
+    listed = {r["page_id"] for r in pages.where(host.rlike(url_filter.LISTED_HOST)).collect()}
     got = url_filter.judge(pages, pages.where(F.col("page_id").isin(sorted(listed))).select("url")).collect()
     assert listed and listed <= {r["page_id"] for r in got if r["maybe_listed"]}
     unruled = [r for r in got if r["rule"] is None]
@@ -261,7 +261,7 @@ def test_toxicity(spark, empty):
         rows.append((i, " ".join(ws)))
         labels.append((i, int(i % 4 == 0)))
     docs, known = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int").where("doc_id < 300")
-    lexicon = toxicity.learn(docs, known, least=3)
+    lexicon = toxicity.learn(docs, known)
     unseen = [(900, "w1x gruмbl0 w2x"), (901, "w1x vexonew w2x"), (902, None), (903, ""), (904, "w1x w2x"), (None, "grumblo")]
     got = {x["doc_id"]: x for x in toxicity.scored(docs.unionByName(spark.createDataFrame(unseen, docs.schema)), lexicon).collect()}
     assert all(got[i]["predicted"] == (i % 4 == 0) for i in range(300, 400))
@@ -271,6 +271,37 @@ def test_toxicity(spark, empty):
     assert toxicity.scored(empty, lexicon).count() == 0
 
 
+def plain_score(lexicon, words):
+    """The lexicon's sum by looking every word up: an independent scorer."""
+    free = {i for e in lexicon.exceptions for i in range(len(words)) if words[i : i + len(e.split())] == e.split() for i in range(i, i + len(e.split()))}
+    best = lambda w: max([lexicon.words.get(w, 0.0), *(v for s, v in lexicon.stems.items() if w.startswith(s))])
+    return sum(best(w) for i, w in enumerate(words) if i not in free)
+
+
+def test_toxicity_against_an_independent_scorer(spark):
+    r = random.Random(8)
+    names = [f"w{i}" for i in range(30)] + ["grumblo", "grumblost", "vexo", "trash", "can", "circus", "clown", "not", "an", "idiot"]
+    lexicon = toxicity.Lexicon({"grumblo": 4.0, "clown": 3.0, "idiot": 5.0, "trash": 2.0, "can": 0.5}, {"grum": 1.5, "vexo": 2.5, "tras": 1.0}, fit=(-3.0, 1.0, 0.5))
+    rows = [(i, " ".join(r.choice(names) for _ in range(n))) for i, n in enumerate([0, 1, 2, 5, 50, 300, 20_000] * 3)] + [(5, "clown clown"), (5, "clown clown")]
+    docs = spark.createDataFrame([(*x, 1.0, "lang") for x in rows], "doc_id bigint, text string, score double, weight string")
+    got = sorted((x["doc_id"], x["weight"], x["score"]) for x in toxicity.scored(docs, lexicon).collect())
+    want = []
+    for i, t in rows:
+        w = t.split()
+        s = plain_score(lexicon, w)
+        z = -3.0 + math.log1p(s) + 0.5 * math.log1p(100 * s / max(len(w), 20))
+        want.append((i, s, 1 / (1 + math.exp(-z))))
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a == pytest.approx(b)
+
+
+def test_the_lexicon_has_no_cap(spark):
+    rows = [(i, " ".join(f"bad{k}x" for k in range(5000)) if i < 20 else "fine words here") for i in range(100)]
+    known = spark.createDataFrame([(i, int(i < 20)) for i in range(100)], "doc_id bigint, toxic int")
+    docs = spark.createDataFrame(rows + rows[:2], "doc_id bigint, text string")
+    assert len(toxicity.learn(docs, known).words) == 5000
+
+
 def test_exception_phrases():
     x = toxicity.Lexicon({"clown": 5.0}, {}, ("circus clown",))
     a = x.automaton()
@@ -350,6 +381,12 @@ def test_line_dedup(spark, empty):
     assert line_dedup.deduped(empty).count() == 0
 
 
+def test_boilerplate_beyond_the_broadcast_bound(spark, docs, monkeypatch):
+    want = sorted(map(str, line_dedup.deduped(docs, min_sites=3).collect()))
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
+    assert sorted(map(str, line_dedup.deduped(docs, min_sites=3).collect())) == want
+
+
 def test_repeated_rows_are_cut_as_one_alone_would_be(spark):
     text = lambda i, k: "Shared footer line\n" + "\n".join(f"own text {i} {j}" for j in range(k))
     rows = [(i, text(i, 5), f"s{i}") for i in range(12)] + [(0, text(0, 5), "s0")] * 2 + [(1, text(1, 1), "s1")]

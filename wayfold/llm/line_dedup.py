@@ -1,9 +1,9 @@
 """Line dedup: lines that spread over many sites are boilerplate and are cut.
 
 A line is keyed by two hashes of its text without outer white space; lines without a word are no
-lines. Only lines that occur at two sites or more (a min/max of the site's hash, combined before the
-shuffle) get a HyperLogLog sketch of their sites. Sketches merge by aggregation, so a line found
-everywhere costs one small sketch for each task. Lines whose estimate is within `band` of the
+lines. Each task reduces its lines to distinct (line, site) pairs, which are dealt by both, so a line found
+everywhere comes to no more rows than it has sites. Only lines that occur at two sites or more (a min/max of
+the site's hash) get a HyperLogLog sketch of their sites; sketches merge by aggregation. Lines whose estimate is within `band` of the
 threshold are counted exactly; the rest are far enough from it for the sketch to decide.
 
 A document in which boilerplate makes up more than `max_share` of the characters of its lines is a
@@ -19,13 +19,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import let, small, table, written
 
 MIN_SITES = 10
 LG_K = 12
 #: Of the threshold: about six standard errors of a sketch with 2^12 registers.
 BAND = 0.1
 MAX_SHARE = 0.5
+#: Boilerplate lines are broadcast up to this number, 16 bytes each; beyond it they are joined by a shuffle.
+BROADCAST_LINES = 500_000
 TRIM = " \t\n\x0b\f\r"
 
 
@@ -52,6 +54,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 def boilerplate(rows: DataFrame, min_sites: int = MIN_SITES, band: float = BAND, lg_k: int = LG_K) -> DataFrame:
     """h1, h2 of the lines that occur at min_sites sites or more."""
     key = ["h1", "h2"]
+    rows = rows.select(*key, "site").distinct()
     spread = rows.groupBy(*key).agg(F.min("site").alias("lo"), F.max("site").alias("hi")).where("lo < hi").select(*key)
     shared = rows.select(*key, "site").join(spread, key, "left_semi")
     sketch = shared.groupBy(*key).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("n"))
@@ -64,7 +67,8 @@ def boilerplate(rows: DataFrame, min_sites: int = MIN_SITES, band: float = BAND,
 def cuts(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, band: float = BAND) -> DataFrame:
     """doc_id and the hashes (array of struct h1, h2) of the lines to cut, for the documents that have any."""
     rows = occurrences(docs).where("doc_id IS NOT NULL")
-    hits = rows.join(boilerplate(occurrences(docs), min_sites, band), ["h1", "h2"], "left_semi")
+    wide = written(boilerplate(occurrences(docs), min_sites, band), "boilerplate")
+    hits = rows.join(small(wide, BROADCAST_LINES), ["h1", "h2"], "left_semi")
     return hits.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("cut"))
 
 

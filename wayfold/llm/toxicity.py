@@ -6,14 +6,17 @@ stand for. Text is then words with one blank between; patterns are whole words (
 of words (` stem`), so one automaton finds both. Exception phrases are patterns too: what lies inside one
 does not count.
 
-The lexicon is learned from labelled rows: a bounded sample of `train_rows` (the bound is this
-parameter), whose features are counted by Spark; the heaviest `lexicon_rows` go to every worker. A text's
+The lexicon is learned from labelled rows: a bounded sample of `train_rows` documents (the bound is this
+parameter), whose features are counted by Spark. Every feature that stands in toxic texts often enough, by the
+sample's own share of toxic texts, and far more often than in clean ones is an entry; all entries go to every
+worker, and their number is bounded by the sample. A text's
 score is a logistic function of the summed weights and of their sum for each hundred words, whose
 coefficients are fitted on the same sample. Every document is scored on its whole text.
 
 Nulls: a null text is an empty one and has no match; its score is that of a text without one. A null
 doc_id is scored, never learned from. Without labelled rows the lexicon is empty and all scores are 0.
-Repeated rows are scored one by one. No other column is looked at.
+Repeated rows are scored one by one; of a labelled doc_id with several texts the greatest one is learned from. No
+other column is looked at.
 """
 
 from __future__ import annotations
@@ -31,8 +34,9 @@ from pyspark.sql import functions as F
 from .common import ship, table
 
 TRAIN_ROWS = 20_000
-LEXICON_ROWS = 4_000
-LEAST = 8
+#: An entry's toxic texts would all be toxic by chance with a probability of less than this, and at least so many times as often as clean.
+CHANCE = 1e-4
+RATIO = 8
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
 #: Fixed look-alikes: Cyrillic and Greek letters, then digits and signs, each with its Latin letter.
@@ -84,6 +88,8 @@ class Lexicon:
         """The sum, over places where a word begins, of the heaviest match there that no exception covers."""
         if automaton is None or not words:
             return 0.0
+        from bisect import bisect_right
+
         best: dict[int, float] = {}
         free: list[tuple[int, int]] = []
         for end, (size, w) in automaton.iter(f" {' '.join(words)} "):
@@ -92,7 +98,15 @@ class Lexicon:
                 free.append((at, end))
             elif w > best.get(at, 0.0):
                 best[at] = w
-        return sum(w for at, w in best.items() if not any(a <= at < b for a, b in free))
+        if not free:
+            return sum(best.values())
+        free.sort()
+        starts, reach, most = [a for a, _ in free], [], 0
+        for _, b in free:
+            most = max(most, b)
+            reach.append(most)
+        covered = lambda at: (i := bisect_right(starts, at)) > 0 and at < reach[i - 1]
+        return sum(w for at, w in best.items() if not covered(at))
 
     def score(self, automaton, text: str | None) -> tuple[float, float]:
         words = fold(text or "")
@@ -138,17 +152,18 @@ def _logistic(rows: list[tuple[float, float, int]], steps: int = 60) -> tuple[fl
     return tuple(float(v) for v in w)
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, lexicon_rows: int = LEXICON_ROWS, least: int = LEAST) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, chance: float = CHANCE, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """docs: doc_id, text. labels: doc_id, toxic; all of them may be learned from."""
     ship(docs.sparkSession)
     key = F.crc32(F.col("doc_id").cast("string"))
     chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(key, "doc_id").limit(train_rows)
-    train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
     total = chosen.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     toxic, clean = float(total["t"] or 0), float(total["n"] - (total["t"] or 0))
     weight = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-    heavy = _counted(train).where(F.col("toxic") >= least).withColumn("w", weight).where("toxic >= 20 * clean AND w >= 3").orderBy(F.desc("toxic"), "feature").limit(lexicon_rows)
-    out = Lexicon()
+    least = math.ceil(math.log(chance) / math.log(toxic / (toxic + clean))) if toxic and clean else 1
+    heavy = _counted(train).where((F.col("toxic") >= max(3, least)) & (F.col("toxic") >= RATIO * F.col("clean"))).withColumn("w", weight).where("w >= 3")
+    out = Lexicon(exceptions=exceptions)
     for r in heavy.collect():
         (out.stems if r["feature"].endswith("*") else out.words)[r["feature"].removesuffix("*")] = round(r["w"], 6)
 

@@ -73,8 +73,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, bits_per_url: int =
     """page_id, host, path, rule, verdict, maybe_listed of every page. listed: its first column holds URLs."""
     host, path = host_and_path(F.col(listed.columns[0]))
     canon = listed.select(canonical(host, path).alias("canon")).where("canon IS NOT NULL").distinct()
-    blocks = 1
-    while blocks * 256 < canon.count() * bits_per_url:
+    blocks, need = 1, canon.count() * bits_per_url
+    while blocks * 256 < need:
         blocks *= 2
     host, path = host_and_path(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -94,18 +94,19 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, bits_per_url: int =
     return done.unionByName(checked.withColumn("verdict", F.when(F.col("hit"), "block").otherwise("allow")).select(*out))
 
 
-#: The query's list: the URLs of all pages whose host starts so.
-LISTED_HOST = "adult-"
+#: The query's list: the URLs of all pages on hosts with one of these labels.
+LISTED = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_HOST = rf"(^|[.])({'|'.join(LISTED)})([.]|$)"
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     host, _ = host_and_path(F.col("url"))
-    listed = pages.where(F.startswith(host, F.lit(LISTED_HOST))).select("url")
+    listed = pages.where(host.rlike(LISTED_HOST)).select("url")
     return judge(pages, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
-SQL = """
+SQL = f"""
 WITH parts AS (
   SELECT page_id,
     CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
@@ -119,8 +120,8 @@ WITH parts AS (
   SELECT * FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'),
     ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) AS r(verdict, h, p)
 ), canon AS (
-  SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '') END AS c FROM cut
-), listed AS (SELECT DISTINCT c FROM canon WHERE starts_with(host, 'adult-')),
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www[.]', '') || regexp_replace(path, '/+$', '') END AS c FROM cut
+), listed AS (SELECT DISTINCT c FROM canon WHERE regexp_matches(host, '{LISTED_HOST}')),
 longest AS (
   SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS ruled
   FROM cut, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)

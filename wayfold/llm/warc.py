@@ -313,8 +313,10 @@ def read(spark: SparkSession, path: str, payload: str = "full") -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    out = read(spark, path, "digest").where(F.col("record_type").isin("response", "revisit"))
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # digests are taken from the payloads of responses; revisits have none, and their headers say all
+    responses = read(spark, path, "digest").where(F.col("record_type") == "response")
+    revisits = read(spark, path, "none").where((F.col("record_type") == "revisit") & F.col("refers_to").isNotNull())
+    return responses.unionByName(revisits).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """
@@ -322,7 +324,7 @@ WITH p AS (
   SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha256(coalesce(html, '')) AS d FROM pages
 ), f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
 SELECT p.page_id, n AS payload_bytes, p.d AS payload_digest,
-  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN page_id > first THEN first END AS refers_to
-FROM p LEFT JOIN f ON p.d = f.d AND n >= 100
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first END AS refers_to
+FROM (SELECT p.*, first, first IS NOT NULL AND (page_id IS NULL OR page_id > first) AS again FROM p LEFT JOIN f ON p.d = f.d AND n >= 100) AS p
 """
