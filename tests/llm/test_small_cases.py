@@ -362,6 +362,54 @@ def test_jaccard_join(docs, rows, empty, chunk):
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {find(i) for i in up}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_tries_of_large_groups_link_what_brute_force_links(seed):
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    core = r.choice(1 << 40, 60, replace=False)
+    sets = []
+    for i in range(700):
+        own = np.random.default_rng(1000 + i % 12).choice(1 << 40, 40, replace=False)
+        keep = r.random(100) > 0.03
+        sets.append(np.unique(np.r_[np.r_[core, own][keep], r.choice(1 << 40, r.integers(0, 4), replace=False)]).astype(np.uint64))
+    sizes = np.array([len(s) for s in sets])
+    join = jaccard_join.Join(jaccard_join.ordered(sets), sizes)
+    nodes, stack = 0, [join.root]
+    while stack:
+        n = stack.pop()
+        nodes, stack = nodes + 1, stack + n.children
+    assert nodes > 10
+    links = join.run()
+
+    def roots(pairs):
+        up = list(range(len(sets)))
+
+        def find(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for a, b in pairs:
+            x, y = sorted((find(a), find(b)))
+            up[y] = x
+        return [find(i) for i in range(len(sets))]
+
+    asset = [set(s.tolist()) for s in sets]
+    close = lambda a, b: 100 * (k := len(asset[a] & asset[b])) >= 90 * (len(asset[a]) + len(asset[b]) - k)
+    assert all(close(a, b) for a, b in links) and len(links) < len(sets)
+    assert roots(links) == roots([(a, b) for a in range(len(sets)) for b in range(a) if close(a, b)])
+
+
+def test_components(spark):
+    from wayfold.llm.components import components
+
+    links = [(5, 3), (3, 9), (9, 9), (7, 8), (8, 7), (20, 21), (21, 22), (22, 23), (23, 24), (40, 41), *[(100 + i, 99) for i in range(300)], *[(500 + i, 501 + i) for i in range(60)], (None, 4)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    want = {5: 3, 3: 3, 9: 3, 7: 7, 8: 7, 40: 40, 41: 40} | {i: 20 for i in range(20, 25)} | {100 + i: 99 for i in range(300)} | {99: 99} | {i: 500 for i in range(500, 561)}
+    assert got == want
+
+
 def test_line_dedup(spark, empty):
     body = "\n".join(f"own line number {{}} {k}" for k in range(6))
     rows = [(i, body.replace("{}", str(i)) + ("\n Shared footer \n" if i < 12 else f"\nrare footer {i % 3}"), f"s{i % 12}" if i else None, 0, "x") for i in range(30)]

@@ -115,7 +115,8 @@ class Bucket:
         return np.bitwise_count(self.bits[:, used] & row[used]).sum(1, dtype=np.int64)
 
 
-BUCKET = 256
+#: More sets than this with a common prefix get nodes of their own.
+BUCKET = 8
 
 
 class Join:
@@ -287,7 +288,9 @@ def ties(table: DataFrame) -> DataFrame:
         for x in range(0, len(pairs), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[x : x + 100_000, 0]), pa.array(pairs[x : x + 100_000, 1])], names=["a", "b"])
 
-    blobs = table.where("part >= 0").select("part", "keys", "ids").repartition(partitions(table.sparkSession), "part")
+    # a partition's signatures are sorted in memory: there are as many partitions as parts, whose size is bounded
+    parts = (table.agg(F.max("part").alias("n")).first()["n"] or 0) + 1
+    blobs = table.where("part >= 0").select("part", "keys", "ids").repartition(max(parts, partitions(table.sparkSession)), "part")
     return blobs.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
