@@ -4,7 +4,6 @@ import os
 
 import pytest
 
-from wayfold.operators import relational
 from wayfold.plans import queries as plans
 
 DATA = "/root/testdata/sf0.001"
@@ -42,12 +41,3 @@ def test_entry(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
-
-
-def test_unique_continuation_on_all_lines(spark, duck):
-    """The operator on every line, order to (part, supplier), where some nodes do have one successor and one predecessor."""
-    to = "-l_partkey * 100000 - l_suppkey"
-    got = relational.unique_continuation(spark.read.parquet(f"{DATA}/lineitem.parquet").selectExpr("l_orderkey AS from_node", f"{to} AS to_node"))
-    want = duck.sql(f"""WITH p AS (SELECT DISTINCT l_orderkey AS a, {to} AS b FROM lineitem)
-      SELECT a, b FROM p WHERE a IN (SELECT a FROM p GROUP BY a HAVING count(*) = 1) AND b IN (SELECT b FROM p GROUP BY b HAVING count(*) = 1)""").fetchall()
-    assert want and sorted(tuple(r) for r in got.collect()) == sorted(want)

@@ -15,9 +15,12 @@ def to_units(x: Column, scale: int) -> Column:
 
 
 def containing_interval(starts: Column, x: Column) -> Column:
-    """The index of the half-open interval between sorted breaks that holds x; the last one holds the last break."""
+    """The index of the half-open interval between sorted breaks that holds x; the last one holds the last break.
+
+    What lies outside of the breaks, and breaks that hold no interval, fail."""
     below = F.size(F.filter(starts, lambda s: s <= x)) - 1
-    return F.least(below, F.size(starts) - 2)
+    outside = x.isNotNull() & ((x < F.get(starts, F.lit(0))) | (x > F.element_at(starts, -1)) | (F.size(starts) < 2))
+    return F.when(outside, F.raise_error(F.concat(F.lit("outside of all intervals: "), x.cast("string")))).otherwise(F.least(below, F.size(starts) - 2))
 
 
 def shares(total: Column, widths: Column) -> Column:

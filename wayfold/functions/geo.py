@@ -47,6 +47,44 @@ def project(lon: Column, lat: Column) -> tuple[Column, Column]:
     return FALSE_E + K0 * radius * x, FALSE_N + K0 * radius * y
 
 
+def inverse_series() -> list[float]:
+    """The inverse series' coefficients, from the third flattening."""
+    n = FLAT / (2 - FLAT)
+    return [
+        n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360,
+        n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440,
+        17 * n**3 / 480 - 37 * n**4 / 840,
+        4397 * n**4 / 161280,
+    ]
+
+
+def latitude_series() -> list[float]:
+    """Coefficients of the geodetic latitude by the conformal one."""
+    n = FLAT / (2 - FLAT)
+    return [
+        2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45,
+        7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45,
+        56 * n**3 / 15 - 136 * n**4 / 35,
+        4279 * n**4 / 630,
+    ]
+
+
+def unproject(x: Column, y: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of an easting and northing: the inverse of project()."""
+    radius, _ = series()
+    xi0, eta0 = (y - FALSE_N) / (K0 * radius), (x - FALSE_E) / (K0 * radius)
+    xi, eta = xi0, eta0
+    for j, b in enumerate(inverse_series(), 1):
+        xi = xi - b * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
+        eta = eta - b * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
+    # the conformal latitude, and by a series the geodetic one
+    chi = F.asin(F.sin(xi) / F.cosh(eta))
+    phi = chi
+    for j, d in enumerate(latitude_series(), 1):
+        phi = phi + d * F.sin(2 * j * chi)
+    return F.lit(LON0) + F.degrees(F.atan2(F.sinh(eta), F.cos(xi))), F.degrees(phi)
+
+
 def box_gap_m(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     """A lower bound of the distance of two boxes (min lon, min lat, max lon, max lat)."""
     gap = lambda lo1, hi1, lo2, hi2: F.greatest(F.lit(0.0), lo2 - hi1, lo1 - hi2)

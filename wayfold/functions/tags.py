@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 #: Fixed values.
 MPH = 1.609344
 TONNES_KG, FEET_M = 1000.0, 0.3048
-ALLOWED = ("yes", "permissive", "designated", "destination")
+ALLOWED = ("yes", "motorcar", "motor_vehicle", "vehicle", "permissive", "designated")
 ACCESS = ("motorcar", "motor_vehicle", "vehicle", "access")
 
 
@@ -49,10 +49,10 @@ def is_allowed(value: Column) -> Column:
 
 def directions(tags: Column, highway: Column) -> Column:
     """A struct of forward and back."""
-    v = F.lower(first_tag(tags, "oneway:motorcar", "oneway:motor_vehicle", "oneway:vehicle", "oneway"))
-    implied = F.coalesce(highway.isin("motorway", "motorway_link"), F.lit(False)) | F.coalesce(tags["junction"].isin("roundabout", "circular"), F.lit(False))
+    v = F.coalesce(first_tag(tags, "motorcar:oneway", "motor_vehicle:oneway", "vehicle:oneway", "oneway"), F.lit(""))
+    implied = F.coalesce(highway == "motorway", F.lit(False)) | F.coalesce(tags["junction"].isin("roundabout", "circular"), F.lit(False))
     pair = lambda f, b: F.struct(F.lit(f).alias("forward"), F.lit(b).alias("back"))
-    return F.when(v.isin("-1", "reverse"), pair(False, True)).when(v.isin("yes", "true", "1"), pair(True, False)).when(v.isin("no", "false", "0", "reversible", "alternating"), pair(True, True)).when(implied, pair(True, False)).otherwise(pair(True, True))
+    return F.when(v == "-1", pair(False, True)).when(v.isin("yes", "true", "1") | ((v != "no") & implied), pair(True, False)).otherwise(pair(True, True))
 
 
 def capped_speed(*caps: Column) -> Column:

@@ -73,8 +73,13 @@ def distance_to_segment(px: Column, py: Column) -> tuple[Column, Column]:
     return F.sqrt(F.pow(px - F.col("ax") - t * dx, 2) + F.pow(py - F.col("ay") - t * dy, 2)), t
 
 
-def nearest(lines: DataFrame, px: float, py: float, ties: list[str]) -> DataFrame:
-    """The line nearest to a point, by its distance in whole millimetres, then ties. One row; no sort."""
+def nearest(lines: DataFrame, px: float, py: float, ties: list[str], within: float | None = None) -> DataFrame:
+    """The line nearest to a point, by its distance in whole millimetres, then ties. One row; no sort.
+
+    Only lines within a distance count, if there is one: a box around the point is tested first."""
+    if within is not None:
+        lines = lines.where((F.greatest("ax", "bx") >= px - within) & (F.least("ax", "bx") <= px + within) & (F.greatest("ay", "by") >= py - within) & (F.least("ay", "by") <= py + within))
+        lines = lines.where(distance_to_segment(F.lit(px), F.lit(py))[0] <= within)
     d, t = distance_to_segment(F.lit(px), F.lit(py))
     mm = F.bround(d * 1000, 0).cast("bigint")
     best = F.min(F.struct(mm.alias("mm"), *ties, F.round(t, 9).alias("fraction")))

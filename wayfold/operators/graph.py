@@ -52,24 +52,30 @@ def fixed_order(pairs: DataFrame, marks: DataFrame, seeds: DataFrame, order: lis
 
 
 def candidate_orders(cities: list[str], fixed: list[list[str]], seed: int, shuffles: int = 8, swaps: int = 15) -> list[tuple[str, list[str]]]:
-    """Named visiting orders: the fixed ones, the given one, its reverse, seeded shuffles, and adjacent swaps of the fixed ones."""
-    out = [(f"fixed-{i}", list(o)) for i, o in enumerate(fixed)] + [("given", list(cities)), ("reversed", list(reversed(cities)))]
+    """Named visiting orders: the fixed ones, the given one, its reverse, seeded shuffles, and adjacent swaps of the fixed ones.
+
+    All begin where the given one does: only what follows is turned round, shuffled or swapped, and the last two stay."""
+    start, *rest = cities
+    out = [(f"fixed-{i}", list(o)) for i, o in enumerate(fixed)] + [("given", list(cities)), ("reversed", [start, *rest[::-1]])]
     source = random.Random(seed)
     for i in range(shuffles):
-        order = list(cities)
-        source.shuffle(order)
-        out.append((f"shuffle-{i}", order))
+        tail = list(rest)
+        source.shuffle(tail)
+        out.append((f"shuffle-{i}", [start, *tail]))
     for i, o in enumerate(fixed):
-        for k in range(swaps):
-            order = list(o)
-            order[k], order[k + 1] = order[k + 1], order[k]
-            out.append((f"swap-{i}-{k}", order))
+        out += [(f"fixed-{i}-swap-{k}", [*o[:k], o[k + 1], o[k], *o[k + 2 :]]) for k in range(1, min(swaps, len(o) - 3) + 1)]
     return out
 
 
+def ending_at(candidates: list[tuple[str, list[str]]], terminal: str) -> list[tuple[str, list[str]]]:
+    """The candidates with a place moved to their end; those that end there already, or lack it, stay as they are."""
+    move = lambda n, o: (n, o) if terminal not in o or o[-1] == terminal else (f"{n}-end-{terminal}", [c for c in o if c != terminal] + [terminal])
+    return [move(n, o) for n, o in candidates]
+
+
 def schedule(spark, cities: list[str], fixed: list[list[str]], seed: int, first: int = 8) -> DataFrame:
     """route, source, order: the fixed orders, all candidates, then for each last city the first candidates with it moved to the end."""
     candidates = candidate_orders(cities, fixed, seed)
     rows = [(f"mandatory-{i}", "fixed", list(o)) for i, o in enumerate(fixed)] + [(n, "candidate", o) for n, o in candidates]
-    rows += [(f"end-{t}-{i}", "terminal", [c for c in o if c != t] + [t]) for t in cities[1:] for i, (_, o) in enumerate(candidates[:first])]
+    rows += [(f"end-{t}-{i}", "terminal", o) for t in cities[1:] for i, (_, o) in enumerate(ending_at(candidates, t)[:first])]
     return spark.createDataFrame(rows, "route string, source string, order array<string>")

@@ -39,11 +39,15 @@ def unique_continuation(edges: DataFrame) -> DataFrame:
     return out.join(into, "next").select(F.col("node").alias("a"), F.col("next").alias("b"))
 
 
-def collapsed(df: DataFrame, group: str, order: list[str], real: Column, amount: str) -> DataFrame:
-    """Rows that are not real give their amount to the previous real row, or to the first one before there is any."""
+def collapsed(df: DataFrame, group: str, order: list[str], real: Column, amount: str, strict: bool = False) -> DataFrame:
+    """Rows that are not real give their amount to the previous real row, or to the first one before there is any.
+
+    With `strict`, a group without a real row fails the query when it is read; else it is left out."""
     running = W.partitionBy(group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     numbered = df.withColumn("_real", real).withColumn("_g", F.greatest(F.lit(1), F.sum(F.col("_real").cast("int")).over(running)))
     agg = numbered.groupBy(group, "_g").agg(F.sum(amount).alias(amount), F.sum((~F.col("_real")).cast("long")).alias("folded"), F.max("_real").alias("_any"))
+    if strict:
+        agg = agg.withColumn("_any", F.when(F.col("_any"), True).otherwise(F.raise_error(F.concat(F.lit("no real row in group "), F.col(group).cast("string")))))
     return agg.where("_any").select(group, F.col("_g").alias("ordinal"), amount, "folded")
 
 
@@ -100,3 +104,21 @@ def top_with_gap(df: DataFrame, group: str, cost: str, tie: str, n: int) -> Data
 def sorted_unique(df: DataFrame, order: list[str], key: list[str]) -> DataFrame:
     """One row: rows, distinct keys and whether they agree."""
     return df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*key).alias("n_keys")).withColumn("is_unique", F.col("n") == F.col("n_keys"))
+
+
+def strictly_ascending(df: DataFrame, key: str, position: str, parts: int = 64) -> DataFrame:
+    """n, disorder: pairs of neighbours by position whose keys do not ascend. Positions are dealt by ranges; what ends a range is compared with the next one's first row."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("_p").orderBy(position)
+    dealt = df.select(F.col(key).alias("_k"), F.col(position)).repartitionByRange(parts, position).withColumn("_p", F.spark_partition_id())
+    inner = dealt.withColumn("_before", F.lag("_k").over(w))
+    each = inner.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_before") >= F.col("_k")).alias("bad"), F.min_by("_k", position).alias("first"), F.max_by("_k", position).alias("last"), F.min(position).alias("at"))
+    seams = each.withColumn("_last", F.lag("last").over(W.partitionBy(F.lit(0)).orderBy("at")))
+    return seams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("bad") + F.coalesce((F.col("_last") >= F.col("first")).cast("long"), F.lit(0))), F.lit(0)).alias("disorder"))
+
+
+def gaps(df: DataFrame, key: str) -> DataFrame:
+    """One row: distinct keys, the least and greatest, and whether they leave none out."""
+    out = df.agg(F.count_distinct(key).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+    return out.withColumn("is_dense", (F.col("lo") == 0) & (F.col("hi") + 1 == F.col("n")))

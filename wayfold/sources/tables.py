@@ -36,14 +36,15 @@ def read_features(spark: SparkSession, path: str, tag: str, schema: str | None =
 def positions(text: Column) -> Column:
     """A list of coordinates as pairs."""
     n = F.transform(F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != ""), lambda x: x.try_cast("double"))
-    return F.transform(F.sequence(F.lit(0), F.size(n) - 2, F.lit(2)), lambda i: F.struct(F.get(n, i).alias("x"), F.get(n, i + 1).alias("y")))
+    every = F.filter(F.sequence(F.lit(0), F.greatest(F.size(n), F.lit(2)) - 2), lambda i: (i % 2 == 0) & (i + 1 < F.size(n)))
+    return F.transform(every, lambda i: F.struct(F.get(n, i).alias("x"), F.get(n, i + 1).alias("y")))
 
 
 def ring_segments(rings: DataFrame, key: list[str], points: str) -> DataFrame:
     """Segments x1, y1, x2, y2 of closed rings given as arrays of points."""
     p = F.col(points)
     pair = F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: F.struct(i.alias("seq"), F.get(p, i)["x"].alias("x1"), F.get(p, i)["y"].alias("y1"), F.get(p, i + 1)["x"].alias("x2"), F.get(p, i + 1)["y"].alias("y2")))
-    return rings.select(*key, F.explode(pair).alias("s")).select(*key, "s.*")
+    return rings.where(F.size(p) > 1).select(*key, F.explode(pair).alias("s")).select(*key, "s.*")
 
 
 def geojson_coordinates(text: Column) -> Column:
@@ -53,6 +54,17 @@ def geojson_coordinates(text: Column) -> Column:
     return F.when(F.get_json_object(text, "$.type") == "MultiPolygon", F.flatten(F.flatten(multi))).otherwise(F.flatten(single))
 
 
+def required_counts(spark: SparkSession, path: str, patterns: dict[str, str], total: str | None = None, parts: tuple[str, ...] = ()) -> dict[str, int]:
+    """Each pattern's number; fails unless every pattern stands in exactly one line, and the parts add up to the total."""
+    got = {r["name"]: r for r in log_counts(spark, path, patterns).collect()}
+    if wrong := sorted(k for k, r in got.items() if r["n"] != 1):
+        raise ValueError(f"not in exactly one line: {', '.join(wrong)}")
+    values = {k: r["value"] for k, r in got.items()}
+    if total and values[total] != sum(values[p] for p in parts):
+        raise ValueError(f"{total} is not the sum of {', '.join(parts)}")
+    return values
+
+
 def log_counts(spark: SparkSession, path: str, patterns: dict[str, str]) -> DataFrame:
     """name, n, value: for each pattern how many lines have it, and the number it holds."""
     lines = spark.read.text(path)
@@ -102,8 +114,9 @@ def restriction_shape(members: Column, kind: Column) -> Column:
 
 
 def via_path(a: Column, b: Column, via: Column) -> Column:
-    """From, via and to nodes of two ways that meet at a node: the ways' end pairs in one of four orientations; else null."""
-    end = lambda w, i: F.element_at(w, i)
-    start = F.when(end(a, -1) == via, end(a, -2)).when(end(a, 1) == via, end(a, 2))
+    """From, via and to nodes of two ways that meet at a node, by the pairs at their ends: first ends are tried first, and
+    ways of less than two nodes have none. Null if they do not meet."""
+    end = lambda w, i: F.try_element_at(w, F.lit(i))
     stop = F.when(end(b, 1) == via, end(b, 2)).when(end(b, -1) == via, end(b, -2))
-    return F.when(start.isNotNull() & stop.isNotNull(), F.struct(start.alias("from_node"), via.alias("via_node"), stop.alias("to_node")))
+    start = F.when(end(a, 1) == via, end(a, 2)).when(end(a, -1) == via, end(a, -2))
+    return F.when((F.size(a) > 1) & (F.size(b) > 1) & start.isNotNull() & stop.isNotNull(), F.struct(start.alias("from_node"), via.alias("via_node"), stop.alias("to_node")))
