@@ -43,7 +43,7 @@ def legal_segments(ways: DataFrame, profile: Profile, needed: DataFrame | None =
         F.when(back, at(F.col("ordinal"))).otherwise(at(F.col("ordinal") + 1)).alias("to_node"), F.col("tags")["highway"].alias("highway"), F.col("x.speed_kmh").alias("speed_kmh"), F.col("x.access").alias("access"),
     )
     out = out.join(needed.select("from_node", "to_node").distinct(), ["from_node", "to_node"], "left_semi") if needed is not None else out
-    return out.observe(observed, F.count(F.lit(1)).alias("legal_candidates"), F.count_distinct("way_id").alias("legal_ways")) if observed else out
+    return out.observe(observed, F.count(F.lit(1)).alias("legal_candidates"), F.count_if(F.col("direction") == 1).alias("backward")) if observed else out
 
 
 def ways_of(ways: DataFrame, wanted: DataFrame) -> DataFrame:
