@@ -363,9 +363,11 @@ def test_jaccard_join(docs, rows, empty, chunk):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_tries_of_large_groups_link_what_brute_force_links(seed):
+def test_tries_of_large_groups_link_what_brute_force_links(seed, monkeypatch):
     import numpy as np
 
+    monkeypatch.setattr(jaccard_join, "BUCKET", 8 << 2 * seed)
+
     r = np.random.default_rng(seed)
     core = r.choice(1 << 40, 60, replace=False)
     sets = []
@@ -379,7 +381,7 @@ def test_tries_of_large_groups_link_what_brute_force_links(seed):
     while stack:
         n = stack.pop()
         nodes, stack = nodes + 1, stack + n.children
-    assert nodes > 10
+    assert nodes > (10 if seed == 0 else 1)
     links = join.run()
 
     def roots(pairs):

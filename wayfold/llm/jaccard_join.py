@@ -116,7 +116,7 @@ class Bucket:
 
 
 #: More sets than this with a common prefix get nodes of their own.
-BUCKET = 8
+BUCKET = 256
 
 
 class Join:
