@@ -68,6 +68,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[n] for n in names])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as it takes to clash with no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once.
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import ascii_lower, let, small, table, words, written
+from .common import ascii_lower, fresh, let, small, table, words, written
 
 WIDTH = 8
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -73,18 +73,18 @@ def candidates(index: DataFrame, probe: DataFrame) -> DataFrame:
 
 
 def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs with `leaks`, a struct: n_words, n_hit, items (sorted ids of the items with occurring windows), spans."""
+    """docs with `leaks` (fresh(): with underscores where docs has such a column), a struct: n_words, n_hit, items (sorted ids of the items with occurring windows), spans."""
     wins = written(windows(items, width), "windows")
     vocabulary = wins.select(F.explode("terms").alias("term")).distinct()
     freq = frequencies(docs, small(vocabulary, BROADCAST_WINDOWS))
     probe = written(probes(wins, freq), "probes")
     index = written(postings(docs, small(probe.select("term").distinct(), BROADCAST_WINDOWS)), "postings")
     found = candidates(index, probe).join(small(wins, BROADCAST_WINDOWS), "win")
-    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "terms", "items")).alias("_leak_found"))
-    joined = docs.join(found.withColumnRenamed("doc_id", "_leak_id"), F.col("doc_id") == F.col("_leak_id"), "left")
+    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "terms", "items")).alias(seen := fresh(docs, "_leak_found")))
+    joined = docs.join(found.withColumnRenamed("doc_id", of := fresh(docs, "_leak_id")), F.col("doc_id") == F.col(of), "left")
 
     def verified(ws: Column) -> Column:
-        real = F.filter(F.coalesce("_leak_found", F.array().cast(found.schema["_leak_found"].dataType)), lambda c: F.slice(ws, c["start"] + 1, F.size(c["terms"])) == c["terms"])
+        real = F.filter(F.coalesce(seen, F.array().cast(found.schema[seen].dataType)), lambda c: F.slice(ws, c["start"] + 1, F.size(c["terms"])) == c["terms"])
         spans = lambda c: F.sequence(c["start"], c["start"] + F.size(c["terms"]) - 1)
         return let(real, lambda r: F.struct(
             F.size(ws).cast("long").alias("n_words"),
@@ -94,7 +94,7 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
         ))
 
     own = [F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*own, let(terms(F.col("text")), verified).alias("leaks"))
+    return joined.select(*own, let(terms(F.col("text")), verified).alias(fresh(docs, "leaks")))
 
 
 def proximity(docs: DataFrame, queries: DataFrame, slop: int) -> DataFrame:
@@ -158,6 +158,6 @@ def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH, most_items: int
     """The rows of docs without a whole window of `width` words of any item, and with less than most_items items.
 
     A single item of fewer words is no proof: its few words may stand in any text."""
-    x = F.col("leaks")
+    x = F.col(fresh(docs, "leaks"))
     leaked = F.exists(x["spans"], lambda s: s["size"] >= width) | (F.size(x["items"]) >= most_items)
     return matches(docs, items, width).where(~leaked).select(*[F.col(f"`{c}`") for c in docs.columns])

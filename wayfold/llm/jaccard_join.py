@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, ship, small, table, written
+from .common import fresh, partitions, ship, small, table, written
 from .components import components
 from .hashing import U, WordHashes, mix, pack, shingles, split_words, unpack
 
@@ -348,8 +348,8 @@ def one_of_each(docs: DataFrame, t: int = T, n: int = N, chunk: int = CHUNK) ->
     """The rows of docs that no other document of their component precedes; of repeated rows all stay or go.
 
     Empty documents and null ids are linked with nothing and stay."""
-    away = components(links(docs, signed(docs, t, n), t, n, chunk)).where("node <> component").select(F.col("node").alias("_away"))
-    return docs.join(small(away, BROADCAST_IDS), F.col("doc_id") == F.col("_away"), "left_anti")
+    away = components(links(docs, signed(docs, t, n), t, n, chunk)).where("node <> component").select(F.col("node").alias(gone := fresh(docs, "_away")))
+    return docs.join(small(away, BROADCAST_IDS), F.col("doc_id") == F.col(gone), "left_anti")
 
 
 SQL = """

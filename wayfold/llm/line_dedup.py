@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, small, table, written
+from .common import fresh, let, small, table, written
 
 MIN_SITES = 10
 LG_K = 12
@@ -73,18 +73,20 @@ def cuts(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHA
 
 
 def deduped(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, band: float = BAND) -> DataFrame:
-    """docs with `line_dedup`, a struct: kept_text, n_lines, n_removed (of lines with a word)."""
-    found = cuts(docs, min_sites, max_share, band).select(*[F.col(c).alias(f"_line_{c}") for c in ("doc_id", "cut")])
-    joined = docs.join(found, F.col("doc_id") == F.col("_line_doc_id"), "left")
+    """docs with `line_dedup` (fresh(): with underscores where docs has such a column), a struct: kept_text, n_lines,
+    n_removed (of lines with a word)."""
+    of, gone = fresh(docs, "_line_doc_id"), fresh(docs, "_line_cut")
+    found = cuts(docs, min_sites, max_share, band).select(F.col("doc_id").alias(of), F.col("cut").alias(gone))
+    joined = docs.join(found, F.col("doc_id") == F.col(of), "left")
 
     def cut(lines: Column) -> Column:
         h = lambda x: F.struct(*[k.alias(n) for k, n in zip(_key(_core(x)), ("h1", "h2"), strict=True)])
-        hit = lambda x: F.coalesce((_core(x) != "") & F.array_contains(F.col("_line_cut"), h(x)), F.lit(False))
+        hit = lambda x: F.coalesce((_core(x) != "") & F.array_contains(F.col(gone), h(x)), F.lit(False))
         total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x["size"])
 
         def judged(a: Column) -> Column:
-            gone = total(F.filter(a, lambda x: x["hit"])) <= max_share * total(a)
-            kept = F.when(gone, F.filter(a, lambda x: ~x["hit"])).otherwise(a)
+            few = total(F.filter(a, lambda x: x["hit"])) <= max_share * total(a)
+            kept = F.when(few, F.filter(a, lambda x: ~x["hit"])).otherwise(a)
             return let(kept, lambda k: F.struct(
                 F.when(F.col("text").isNotNull(), F.array_join(F.transform(k, lambda x: x["line"]), "\n")).alias("kept_text"),
                 F.size(F.filter(a, lambda x: x["size"] > 0)).cast("long").alias("n_lines"),
@@ -95,7 +97,7 @@ def deduped(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_
         return let(each, judged)
 
     own = [F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*own, let(_lines(F.col("text")), cut).alias("line_dedup"))
+    return joined.select(*own, let(_lines(F.col("text")), cut).alias(fresh(docs, "line_dedup")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -129,7 +131,7 @@ FROM kept GROUP BY doc_id
 
 def cleaned(docs: DataFrame, **options) -> DataFrame:
     """docs with the boilerplate cut from their texts, and n_chars, if there, counted again. No document goes."""
-    out, x = deduped(docs, **options), F.col("line_dedup")
+    out, x = deduped(docs, **options), F.col(fresh(docs, "line_dedup"))
     changed = x["n_removed"] > 0
     new = {"text": F.when(changed, x["kept_text"]).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:

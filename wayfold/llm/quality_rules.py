@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, small, table, words
+from .common import fresh, let, small, table, words
 from .sql import crc32
 
 BUCKETS = 1 << 16
@@ -121,15 +121,15 @@ RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 
 def judged(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, broadcast_rows: int = BROADCAST_ROWS, threshold: int = THRESHOLD) -> DataFrame:
-    """docs with `quality`, the struct of measures()."""
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    out = docs.withColumn("_w", weights(docs, labels, n, broadcast_rows).scalar())
-    return out.select(*own, measures(_text(), F.col("_w"), threshold, n).alias("quality"))
+    """docs with `quality` (fresh(): with underscores where docs has such a column), the struct of measures()."""
+    own, w = [F.col(f"`{c}`") for c in docs.columns], fresh(docs, "_w")
+    out = docs.withColumn(w, weights(docs, labels, n, broadcast_rows).scalar())
+    return out.select(*own, measures(_text(), F.col(w), threshold, n).alias(fresh(docs, "quality")))
 
 
 def kept(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that the rules keep, unchanged."""
-    return judged(docs, labels, **options).where("quality.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged(docs, labels, **options).where(F.col(fresh(docs, "quality"))["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
