@@ -9,6 +9,11 @@ return the columns of documents.
 3. jaccard_join: of each component of near copies (five-word shingles, Jaccard 0.8 or more) the document with the least doc_id stays.
 4. decontaminate: documents with a benchmark window go.
 5. bpe: a row of token ids and digests for each document that is left.
+
+A null or empty text has no words and goes in stage 1. A null doc_id is judged by the rules only: no line of it is cut, it is no copy
+and no leak. Rows that repeat a doc_id are judged one by one by stages 1, 2 and 4; in stage 3 all of them stay or go, and what is left
+comes out once for each row. Extra columns pass through stages 1 to 4, whatever their names. Without documents there are no rows,
+without labels of quality 1 only the base rules reject, without benchmark items nothing leaks.
 """
 
 from __future__ import annotations
@@ -50,7 +55,7 @@ STAGES = [
     ("bpe", _tokens),
 ]
 
-#: Connected components and byte-pair merges have no SQL; the tests compare with brute force.
+#: Connected components and byte-pair merges have no SQL; tests/llm compares each stage and the whole with a plain version.
 ORACLE_SQL = None
 
 
