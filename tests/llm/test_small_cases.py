@@ -362,6 +362,40 @@ def test_jaccard_join(docs, rows, empty, chunk):
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {find(i) for i in up}
 
 
+def test_jaccard_join_shuffles_far_fewer_bytes_than_its_shingles_have(spark):
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8))) for _ in range(400)]
+    texts = []
+    for i in range(150):
+        # pairs of near copies: every set goes to a group
+        ws = [r.choice(vocabulary) for _ in range(1000)] if i % 2 == 0 else [*ws[:500], "edited", *ws[501:]]
+        texts.append((i, " ".join(ws)))
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {(x := stages.apply(i)).stageId(): x.shuffleWriteBytes() for i in range(stages.size())}
+
+    table, key = jaccard_join.written(docs, "documents"), "spark.sql.autoBroadcastJoinThreshold"
+    broadcast = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    signed_rows, before = jaccard_join.signed(table), shuffled()
+    try:
+        links = jaccard_join.links(table, signed_rows).collect()
+    finally:
+        spark.conf.set(key, broadcast)
+    assert {(max(x), min(x)) for x in links} == {(i + 1, i) for i in range(0, 150, 2)}
+    # shingles as they are: 1.14 MB in the largest shuffle
+    assert max(n for k, n in shuffled().items() if k not in before) < 0.6 * 8 * sum(len(shingled(t)) for _, t in texts)
+
+
+def test_words_on_their_way_to_the_groups(rows):
+    for _, text, *_ in [*rows, (0, "\x00A\x0bB\x1c\x85\u2003É\tz")]:
+        assert jaccard_join.unpacked_words(jaccard_join.packed_words(text)) == jaccard_join.split_words(text)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_tries_of_large_groups_link_what_brute_force_links(seed, monkeypatch):
     import numpy as np

@@ -10,7 +10,8 @@ unlike single shingles, is not shared by unrelated documents, however frequent t
 
 Signatures travel sorted and compressed, and the documents under one signature are only tied to the least of
 them. Those ties form groups; identical sets enter a group once. A group larger than `chunk` sets is dealt to
-chunks, and each pair of chunks is one task, so a task holds at most two chunks.
+chunks, and each pair of chunks is one task, so a task holds at most two chunks. Sets travel there twice (by
+document, then by group), as compressed words: a third of the bytes of shingles, which are made in the task.
 
 How a group is joined. Its shingles get one order, frequent ones first, and its sets go into a radix trie.
 A set is looked up by walking the trie while the shingles it fails to share are counted: the walk leaves a
@@ -35,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +52,8 @@ SIGNATURES_PER_PARTITION = 2_000_000
 #: signatures of a part agree in them about twice; that ties two sets more, which the tries compare like all others.
 KEY_BITS = 40
 BROADCAST_IDS = 500_000
+#: Of the compression of words on their way to the groups.
+LEVEL = 3
 
 
 def size_class(n: int, t: int = T) -> tuple[int, int, int]:
@@ -297,14 +301,23 @@ def ties(table: DataFrame) -> DataFrame:
     return blobs.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
+def packed_words(text: str | None) -> bytes:
+    """The words that split_words() finds, compressed."""
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b" ".join(split_words(text)))
+
+
+def unpacked_words(b: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(b).split()
+
+
+def _words(docs: DataFrame) -> DataFrame:
+    """doc_id, words of every row: what travels to the groups. Shingles, 8 bytes a word that nothing compresses, are made there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
-            sets = [shingles(split_words(x.as_py()), hashes, n).tobytes() for x in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([packed_words(x.as_py()) for x in b.column("text")], pa.binary())], names=["doc_id", "words"])
 
-    return docs.mapInArrow(run, "doc_id bigint, shingles binary")
+    return docs.mapInArrow(run, "doc_id bigint, words binary")
 
 
 def links(docs: DataFrame, signed_rows: DataFrame, t: int = T, n: int = N, chunk: int = CHUNK) -> DataFrame:
@@ -319,14 +332,14 @@ def links(docs: DataFrame, signed_rows: DataFrame, t: int = T, n: int = N, chunk
     sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
     members = groups.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(members, BROADCAST_IDS), "doc_id", "left_semi")
-    sets = _sets(texts, n)
     cut = F.ceil(F.col("size") / chunk).cast("int")
     dealt = groups.join(sizes, "g").select("g", "doc_id", cut.alias("k"), F.pmod(F.xxhash64("doc_id"), cut).cast("int").alias("c"))
     to = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least("c", j).alias("i"), F.greatest("c", j).alias("j")))
-    rows = dealt.select("g", "doc_id", F.explode(to).alias("to")).select("g", "to.i", "to.j", "doc_id").join(sets, "doc_id")
+    rows = dealt.select("g", "doc_id", F.explode(to).alias("to")).select("g", "to.i", "to.j", "doc_id").join(_words(texts), "doc_id")
+    hashes = WordHashes()
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        found = forest(g["doc_id"].to_numpy(), [np.frombuffer(x, U) for x in g["shingles"]], t)
+        found = forest(g["doc_id"].to_numpy(), [shingles(unpacked_words(x), hashes, n) for x in g["words"]], t)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("g", "i", "j").applyInPandas(run, "a bigint, b bigint").unionByName(same)
