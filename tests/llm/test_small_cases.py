@@ -95,6 +95,20 @@ def test_quality_rules(spark, docs, rows, empty):
     assert quality_rules.kept(docs, labels.where("false")).columns == docs.columns
 
 
+def test_tokens_are_found_without_ranges_and_are_the_same(spark):
+    tokens = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # every character of the first planes in three neighbourhoods, and runs of mixed ones
+    r = random.Random(3)
+    texts = [f"{c}a{c}.{c}{c} " for c in map(chr, [*range(0xD800), *range(0xE000, 0x10200), 0x1F600, 0x10FFFF])]
+    texts += ["".join(r.choice("aZ09é_-.,!~{} \t\n\x0b\x7f\x85\u2003]^[\\&") for _ in range(60)) for _ in range(2000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(tokens(F.col("text"), quality_rules.TOKEN).alias("a"), tokens(F.col("text"), quality_rules.LISTED_TOKEN).alias("b"))
+    assert df.where("a <> b").count() == 0 and df.where("size(b) > 1").count() > 2000
+
+    # Java calls a function for each range of a class; with all characters listed it looks them up
+    plan = spark.range(1).select(quality_rules.buckets(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert r"\x21\x22" in plan and r"\x21-\x2F" not in plan
+
+
 def test_every_trusted_label_is_counted(spark):
     docs = spark.range(20_100).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
     labels = docs.select("doc_id", F.lit(1).alias("quality"))

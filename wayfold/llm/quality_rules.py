@@ -34,6 +34,9 @@ THRESHOLD = -500_000
 SYMBOLS = "#*$%&|<>"
 #: ASCII punctuation runs, or runs of neither punctuation nor white space.
 TOKEN = r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+|[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+"
+#: The same language for Spark, with every character of a class by itself: Java looks those up in one table, and calls a function for each range.
+_PUNCTUATION = "".join(rf"\x{c:02X}" for a, b in ((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E)) for c in range(a, b + 1))
+LISTED_TOKEN = rf"[{_PUNCTUATION}]+|[^\x09\x0A\x0B\x0C\x0D\x20{_PUNCTUATION}]+"
 _INDEX_BITS = 24
 
 
@@ -49,7 +52,7 @@ def buckets(text: Column, n: int = BUCKETS) -> Column:
         pairs = F.transform(codes, lambda c, i: cut(c * 31 + F.coalesce(F.get(codes, i + 1), F.lit(0))))
         return F.concat(F.transform(codes, cut), F.slice(pairs, 1, F.greatest(F.size(codes) - 1, F.lit(0))))
 
-    return let(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.crc32), grams)
+    return let(F.transform(F.regexp_extract_all(text, F.lit(LISTED_TOKEN), F.lit(0)), F.crc32), grams)
 
 
 def weights(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
