@@ -27,6 +27,16 @@ def test_fractions(spark):
     assert one(spark, fractions.to_units(F.lit("0.125").cast("decimal(20,6)"), 100))[0] == 12
 
 
+def test_unit_of_double(spark):
+    """Doubles whose shortest text ends in a half at the thirteenth place are rounded as SQL does."""
+    import duckdb
+
+    values = [0.7742562033245, 0.9427103679975, 0.7813720703125, 0.6578870179145, 1e-13, 0.0, 1.0, *[round(i * 0.000123456789, 12) + 5e-13 for i in range(1, 2000)]]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double").orderBy("i").select(fractions.unit_of(F.col("x"))).collect()]
+    want = [duckdb.execute("SELECT CAST(round(CAST(?::DOUBLE AS DECIMAL(30,18)), 12) AS DECIMAL(13,12))", [x]).fetchall()[0][0] for x in values]
+    assert got == want
+
+
 def test_tags(spark):
     s = lambda x: tags.numeric_speed(F.lit(x))
     r = one(spark, s("50"), s("30 mph;60"), s("walk"), s(""), s(" 80 ; 70 "))

@@ -9,6 +9,14 @@ def canonical_fraction(x: Column) -> Column:
     return F.round(F.least(F.lit(1).cast("decimal(30,18)"), F.greatest(F.lit(0).cast("decimal(30,18)"), x.cast("decimal(30,18)"))), 12).cast("decimal(13,12)")
 
 
+def unit_of(x: Column) -> Column:
+    """A double in [0, 1] at twelve decimal places, as SQL casts it: its product with 10^18 is a double, too, and that integer is rounded.
+
+    Spark's own cast goes by the shortest text of a double, which may end in a half that the product does not have."""
+    whole = F.rint(x * F.lit(1e18)).cast("bigint") + F.lit(500000)
+    return (F.call_function("div", whole, F.lit(1000000).cast("bigint")).cast("decimal(13,0)") * F.lit("0.000000000001").cast("decimal(12,12)")).cast("decimal(13,12)")
+
+
 def to_units(x: Column, scale: int) -> Column:
     """x times scale as an integer, halves to even."""
     return F.bround(x.cast("decimal(20,6)") * F.lit(scale), 0).cast("bigint")

@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import fractions
+
 
 def crossings(lines: DataFrame, rings: DataFrame) -> DataFrame:
     """line, region, is_hole, fraction (twelve places)."""
     met = lines.join(F.broadcast(rings)).withColumn("t", crossing_fraction())
-    return met.where("t IS NOT NULL").select("line", "region", "is_hole", F.round(F.col("t").cast("decimal(30,18)"), 12).cast("decimal(13,12)").alias("fraction")).distinct()
+    return met.where("t IS NOT NULL").select("line", "region", "is_hole", fractions.unit_of(F.col("t")).alias("fraction")).distinct()
 
 
 def crossing_fraction() -> Column:

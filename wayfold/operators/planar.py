@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import fractions
 from .geometry import crosses_ray, distance_to_segment
 from .stored import kept
 
@@ -96,13 +97,9 @@ def on_hole(points: DataFrame, rings: DataFrame, key: list[str], cell: float, wi
     return met.where(distance_to_segment(F.col("x"), F.col("y"))[0] <= within).select(*key, "region").distinct()
 
 
-def _unit(x: Column) -> Column:
-    return F.round(x.cast("decimal(30,18)"), 12).cast(UNIT)
-
-
 def pieces(lines: DataFrame, rings: DataFrame, pairs: DataFrame, cell: float) -> DataFrame:
     """line, region, ordinal, f0, f1, raw0, raw1, overlap, inside: pairs' lines cut where they meet the border. A shared piece is not inside."""
-    met = contacts(lines, rings, cell).withColumn("fraction", _unit(F.col("t")))
+    met = contacts(lines, rings, cell).withColumn("fraction", fractions.unit_of(F.col("t")))
     cuts = met.groupBy("line", "region", "fraction").agg(F.min("t").alias("raw"), F.bool_or("overlap").alias("overlap"))
     ends = pairs.select("line", "region", F.explode(F.array(F.lit(0).cast(UNIT), F.lit(1).cast(UNIT))).alias("fraction"))
     every = kept(ends.join(cuts, ["line", "region", "fraction"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(False))).unionByName(cuts.join(ends, ["line", "region", "fraction"], "left_anti").join(pairs, ["line", "region"], "left_semi")))
