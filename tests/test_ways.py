@@ -66,6 +66,37 @@ def test_restriction_partition(spark, rule, turns, want):
     assert restrictions.sample(parts, "prohibited").count() == want[1]
 
 
+def _shuffled(spark, run):
+    """The result of run() and the bytes that it shuffled."""
+    store, gate = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def total():
+        stages = store.stageList(None, False, False, gate.new_array(gate.jvm.double, 0), gate.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = total()
+    out = run()
+    return out, total() - before
+
+
+def test_restrictions_at_nodes(spark):
+    """The same parts as over a stored turn table, with parallel ways, a loop and a way out that is missing; a hub's pairs are not shuffled."""
+    ends = [(1, 5, 9), (2, 5, 9), (3, 9, 9), (4, 9, 7), (5, 9, 8), (6, 9, 7), (7, 8, 9), (8, 5, 9)]
+    e = spark.createDataFrame([(f"{w}/0/0/{a}/{b}", w, a, b, w * 3) for w, a, b in ends], "edge_id string, way_id bigint, from_node bigint, to_node bigint, x bigint")
+    paths = [(1, 11, "no", 1, 4, 5, 9, 7), (2, 12, "only", 2, 5, 5, 9, 8), (3, 13, "only", 3, 3, 9, 9, 9), (4, 14, "no", 7, 99, 8, 9, 7), (5, 15, "no", 1, 4, 5, 9, 7), (6, 16, "only", 42, 5, 5, 9, 8), (7, 17, "only", 8, 98, 5, 9, 8)]
+    p = spark.createDataFrame(paths, "path bigint, relation_id bigint, rule string, from_way bigint, to_way bigint, from_node bigint, via_node bigint, to_node bigint")
+    rule = (F.col("in_x") + F.col("out_x")) % 2 == 0
+    a, b = e.select(F.col("edge_id").alias("in_edge"), F.col("to_node").alias("v"), F.col("x").alias("in_x")), e.select(F.col("edge_id").alias("out_edge"), F.col("from_node").alias("v"), F.col("x").alias("out_x"))
+    want = restrictions.partition(restrictions.transitions(p, e.drop("x")), a.join(b, "v").where(rule).select("in_edge", "out_edge"))
+    got = restrictions.at_nodes(p, e, rule)
+    rows = lambda df: sorted(map(tuple, df.select("in_edge", "out_edge", "relations", "reasons", "status").collect()))
+    assert rows(got) == rows(want) and {r[4] for r in rows(got)} == {"prohibited", "observed", "legacy"}
+    hub = spark.range(3000).select(F.concat_ws("/", F.col("id"), F.lit("0/0/1/2")).alias("edge_id"), F.col("id").alias("way_id"), F.when(F.col("id") < 1500, 1).otherwise(2).cast("bigint").alias("from_node"), F.when(F.col("id") < 1500, 2).otherwise(3 + F.col("id")).cast("bigint").alias("to_node"), F.col("id").alias("x"))
+    at = hub.where("way_id < 1500").select(F.col("way_id").alias("path"), F.col("way_id").alias("relation_id"), F.lit("only").alias("rule"), F.col("way_id").alias("from_way"), F.lit(1500).cast("bigint").alias("to_way"), F.lit(1).cast("bigint").alias("from_node"), F.lit(2).cast("bigint").alias("via_node"), F.lit(1503).cast("bigint").alias("to_node"))
+    c, size = _shuffled(spark, lambda: restrictions.certificate(restrictions.at_nodes(at.where("path < 3"), hub, rule)).drop("digest").first())
+    assert c["candidates"] == 3 * 1499 and c["is_partition"] and size < 2_000_000
+
+
 def test_contracts(spark):
     schema = "edge_id string, from_node bigint, to_node bigint, length_m double, duration_s double, speed_kmh double, access string, ferry string"
     good = [("10/0/0/1/2", 1, 2, 68.3, 10.3, 24.0, "public_default", "not_ferry"), ("10/0/1/2/1", 2, 1, 68.3, 10.2, 24.0, "allowed:yes", "not_ferry")]

@@ -4,7 +4,8 @@ edges: edge_id, way_id, from_node, to_node. turns: in_edge, out_edge. restrictio
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.tables import via_path
@@ -55,6 +56,33 @@ def partition(transition_rows: DataFrame, turns: DataFrame) -> DataFrame:
     return seen.select(*pair, "relations", "reasons", status.alias("status")).where("status IS NOT NULL")
 
 
+def at_nodes(path_rows: DataFrame, edges: DataFrame, has_turn: Column) -> DataFrame:
+    """The rows of partition() where the turn table is a rule over two edges that meet, so that neither turns nor pairs are shuffled.
+
+    edges: unique edge_id; further columns stand in has_turn as in_<name> and out_<name>. Paths are gathered for each edge
+    that they come in over; then each pair is made once, beside its node's edges, and judged there."""
+    more = [c for c in edges.columns if c not in ("edge_id", "way_id", "from_node", "to_node")]
+    side = lambda name: [F.col(c).alias(f"{name}_{c}") for c in more]
+    into = edges.select(F.col("edge_id").alias("in_edge"), F.col("way_id").alias("in_way"), "from_node", F.col("to_node").alias("via_node"), *side("in"))
+    out = edges.select(F.col("edge_id").alias("out_edge"), F.col("way_id").alias("out_way"), F.col("from_node").alias("via_node"), F.col("to_node").alias("next_node"), *side("out"))
+    ends = out.select("via_node", F.col("next_node").alias("to_node"), F.col("out_way").alias("to_way")).distinct().withColumn("has_out", F.lit(True))
+    coming = path_rows.join(ends, ["via_node", "to_node", "to_way"], "left").join(into, ["from_node", "via_node"])
+    own = F.col("in_way") == F.col("from_way")
+    has_in = F.bool_or(own).over(W.partitionBy("from_node", "via_node", "path"))
+    reason = F.when(~has_in, NO_IN).when(F.col("has_out").isNull(), NO_OUT).when(~own, OTHER_WAY)
+    path = F.struct("relation_id", "rule", "to_way", "to_node", (own & F.col("has_out").isNotNull()).alias("candidate"), reason.alias("reason"))
+    gathered = coming.withColumn("p", path).groupBy("from_node", "via_node", "in_edge", *[f"in_{c}" for c in more]).agg(F.collect_list("p").alias("p"))
+    met = gathered.join(out, "via_node")
+    other = lambda p: F.col("next_node") != p["to_node"]
+    hit = F.filter("p", lambda p: ((p["rule"] == "no") & ~other(p) & (F.col("out_way") == p["to_way"])) | ((p["rule"] == "only") & other(p)))
+    met = met.select("in_edge", "out_edge", hit.alias("hit"), F.coalesce(has_turn, F.lit(False)).alias("seen")).where("size(hit) > 0")
+    c = F.exists("hit", lambda p: p["candidate"])
+    status = F.when(c & ~F.col("seen"), "prohibited").when(c, "observed").when(F.col("seen"), "legacy")
+    relations = F.array_sort(F.array_distinct(F.transform(F.filter("hit", lambda p: p["candidate"]), lambda p: p["relation_id"])))
+    reasons = F.array_sort(F.array_distinct(F.filter(F.transform("hit", lambda p: p["reason"]), lambda r: r.isNotNull())))
+    return met.select("in_edge", "out_edge", relations.alias("relations"), reasons.alias("reasons"), status.alias("status")).where("status IS NOT NULL")
+
+
 def certificate(partition_rows: DataFrame) -> DataFrame:
     """One row: candidates, prohibited, observed, legacy, whether the parts add up, and a digest of the prohibited pairs."""
     n = lambda s: F.count_if(F.col("status") == s)
