@@ -86,16 +86,33 @@ def replayed(path: DataFrame, edges: DataFrame, all_turns: DataFrame, bit_count:
     cheapest = all_turns.groupBy("in_edge", "out_edge").agg(F.min("turn_cost").alias("turn_cost"))
     own = edges.select(F.col("edge_id").alias("out_edge"), F.col("from_node").alias("f"), F.col("to_node").alias("t"), "cost", "length", "mask")
     walked = steps.join(cheapest, ["in_edge", "out_edge"], "left").join(own, "out_edge", "left")
-    walked = walked.withColumn("before", F.lag("t").over(w))
-    first = F.col("in_edge").isNull()
+    walked = walked.withColumns({"before": F.lag("t").over(w), "first": F.col("in_edge").isNull()})
+    return _summed(walked, walked.where("mask <> 0"), bit_count, free_start)
+
+
+def replayed_by_rule(walk: DataFrame, visits: DataFrame, turn_cost: Column, bit_count: int) -> DataFrame:
+    """replayed() without its mask where the turn table is a rule over two edges that meet: no table of turns is made.
+
+    walk: route, pos, from_node, to_node, cost, length of each step. turn_cost: over `before_cost` and `cost`, null where
+    there is no turn. visits: route, pos, mask of the steps inside a place."""
+    w = W.partitionBy("route").orderBy("pos")
+    lag = lambda c: F.lag(c).over(w)
+    steps = walk.select("route", "pos", F.col("from_node").alias("f"), F.col("to_node").alias("t"), "cost", "length", lag("cost").alias("before_cost"), lag("to_node").alias("before"), lag(F.lit(1)).isNull().alias("first"))
+    return _summed(steps.withColumn("turn_cost", F.when(F.col("before") == F.col("f"), turn_cost)), visits, bit_count, False)
+
+
+def _summed(walked: DataFrame, visits: DataFrame, bit_count: int, free_start: bool) -> DataFrame:
+    """walked: route, pos, first, before (the node where the step before ends), f, t, cost, length, turn_cost, and mask where it is asked for."""
+    first = F.col("first")
     paid = F.lit(not free_start) | ~first
     total = lambda c: F.coalesce(F.sum(F.when(paid, F.col(c))), F.lit(0))
+    masks = [F.coalesce(F.bit_or("mask"), F.lit(0)).alias("mask")] if "mask" in walked.columns else []
     sums = walked.groupBy("route").agg(
-        F.count(F.lit(1)).alias("steps"), (total("cost") + F.coalesce(F.sum("turn_cost"), F.lit(0))).alias("cost"), total("length").alias("length"), F.coalesce(F.bit_or("mask"), F.lit(0)).alias("mask"),
+        F.count(F.lit(1)).alias("steps"), (total("cost") + F.coalesce(F.sum("turn_cost"), F.lit(0))).alias("cost"), total("length").alias("length"), *masks,
         F.count_if(~first & F.col("turn_cost").isNull()).alias("illegal"), F.count_if(~first & ~F.coalesce(F.col("before") == F.col("f"), F.lit(False))).alias("broken"), F.count_if(F.col("f").isNull()).alias("missing"),
         F.count_if((F.col("cost") < 0) | (F.col("length") < 0) | (F.col("turn_cost") < 0)).alias("negative"),
     )
-    order = first_hits(walked.where("mask <> 0"), "route", "pos", "mask", bit_count)
+    order = first_hits(visits, "route", "pos", "mask", bit_count)
     ok = (F.col("illegal") == 0) & (F.col("broken") == 0) & (F.col("missing") == 0) & (F.col("negative") == 0)
     return sums.join(order, "route", "left").withColumn("order", F.coalesce("order", F.array().cast("array<int>"))).withColumn("certified", ok)
 
