@@ -113,6 +113,22 @@ def test_rule_replay(spark):
     assert both[0] == both[1] and sum(r[5] for r in both[1]) > 0 and sum(r[4] for r in both[1]) > 0
 
 
+def test_version_counts(spark):
+    """Counts at nodes are those of the pairs, with parallel edges, loops and nulls; a hub's pairs are not shuffled."""
+    from wayfold.operators import turns
+
+    v = spark.createDataFrame([(1, 2, 50), (1, 2, 1), (2, 1, 50), (2, 1, 1), (2, 2, 50), (2, 3, 1), (3, 2, 20), (2, 4, None), (None, 2, 50), (4, None, 1)], "from_node bigint, to_node bigint, d bigint")
+    v = v.withColumn("i", F.monotonically_increasing_id())
+    p = v.select(F.col("i").alias("a"), F.col("from_node").alias("f"), F.col("to_node").alias("v"), F.col("d").alias("x")).join(v.select(F.col("i").alias("b"), F.col("from_node").alias("v"), F.col("to_node").alias("t"), F.col("d").alias("y")), "v")
+    change = F.when((F.col("x") > 40) & (F.col("y") >= 5), "removed").when((F.col("x") <= 40) & (F.col("y") < 5), "added")
+    want = p.withColumn("change", change).where("change IS NOT NULL").groupBy("change", F.when(F.col("f") == F.col("t"), "u_turn").otherwise("ordinary_turn").alias("kind")).count()
+    got = turns.version_counts(v, F.col("d") > 40, F.col("d") < 5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    hub = spark.range(40000).select(F.when(F.col("id") < 20000, F.col("id") + 10).otherwise(1).alias("from_node"), F.when(F.col("id") < 20000, 1).otherwise(F.col("id") + 10).alias("to_node"), (F.col("id") % 2 * 50).alias("d"))
+    n, size = _shuffled(spark, lambda: sorted(map(tuple, turns.version_counts(hub, F.col("d") > 40, F.col("d") < 5).collect())))
+    assert n == [("added", "ordinary_turn", 10**8), ("removed", "ordinary_turn", 10**8)] and size < 4_000_000
+
+
 def test_contracts(spark):
     schema = "edge_id string, from_node bigint, to_node bigint, length_m double, duration_s double, speed_kmh double, access string, ferry string"
     good = [("10/0/0/1/2", 1, 2, 68.3, 10.3, 24.0, "public_default", "not_ferry"), ("10/0/1/2/1", 2, 1, 68.3, 10.2, 24.0, "allowed:yes", "not_ferry")]

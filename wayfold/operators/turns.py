@@ -76,6 +76,24 @@ def u_turn(a_from: Column, a_to: Column, b_from: Column, b_to: Column) -> Column
     return F.when((a_from == b_to) & (a_to == b_from), "u_turn").otherwise("ordinary_turn")
 
 
+def version_counts(edges: DataFrame, gone: Column, late: Column) -> DataFrame:
+    """change, kind, n: contracts.turn_versions() counted, where the old version has all turns but those into `late` edges and the new one all but those out of `gone` edges.
+
+    edges: from_node, to_node and what the two conditions read. At a node, turns are pairs of an edge in and an edge out, so counts of either
+    multiply; turns back are those pairs that share the other node, too. No pair is made."""
+    way_in = F.struct(F.col("to_node").alias("via"), F.col("from_node").alias("other"), F.when(gone, 0).when(~gone, 1).alias("side"))
+    way_out = F.struct(F.col("from_node").alias("via"), F.col("to_node").alias("other"), F.when(~late, 2).when(late, 3).alias("side"))
+    ends = edges.select(F.explode(F.array(way_in, way_out)).alias("x")).select("x.*").where("via IS NOT NULL AND side IS NOT NULL").repartition("via")
+    sides = [f"n{i}" for i in range(4)]
+    by_other = ends.groupBy("via", "other").agg(*[F.count_if(F.col("side") == i).alias(n) for i, n in enumerate(sides)])
+    u = lambda a, b: F.when(F.col("other").isNotNull(), F.col(a) * F.col(b)).otherwise(0)
+    at = by_other.groupBy("via").agg(F.sum(u("n0", "n2")).alias("u_removed"), F.sum(u("n1", "n3")).alias("u_added"), *[F.sum(n).alias(n) for n in sides])
+    one = at.agg(F.sum("u_removed").alias("ur"), F.sum("u_added").alias("ua"), F.sum(F.col("n0") * F.col("n2")).alias("r"), F.sum(F.col("n1") * F.col("n3")).alias("a"))
+    row = lambda change, kind, n: F.struct(F.lit(change).alias("change"), F.lit(kind).alias("kind"), n.alias("n"))
+    rows = F.array(row("removed", "u_turn", F.col("ur")), row("removed", "ordinary_turn", F.col("r") - F.col("ur")), row("added", "u_turn", F.col("ua")), row("added", "ordinary_turn", F.col("a") - F.col("ua")))
+    return one.select(F.explode(rows).alias("x")).select("x.*").where("n > 0")
+
+
 def replayed(path: DataFrame, edges: DataFrame, all_turns: DataFrame, bit_count: int, free_start: bool = False) -> DataFrame:
     """For each route (route, pos, edge_id) one row: steps, cost, length, first-hit order, mask, illegal, broken, missing, certified.
 
