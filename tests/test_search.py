@@ -17,6 +17,16 @@ def graph(spark, *pairs):
     return search.RoadGraph(spark.createDataFrame(ROWS, EDGES), spark.createDataFrame([(a, b, c) for a, b, c in pairs], TURNS))
 
 
+def test_steps_without_other_places(spark):
+    """Edges in places that an order lacks are left out before the rounds; a table without parallel turns is not reduced again."""
+    g = graph(spark, ("w", "lk", 5), ("w", "l", 5), ("l", "o", 1))
+    left = lambda *orders: sorted(r["out_edge"] for r in g.steps().where(search.off_order(*orders)).collect())
+    assert left([0, 1]) == ["l", "o"] and left([0, 1], [2]) == ["l", "lk", "o"]
+    once = search.RoadGraph(g.edges, g.turns, unique=True)
+    assert sorted(map(tuple, once.steps().collect())) == sorted(map(tuple, g.steps().collect()))
+    assert search.FixedOrder(once, "w", [0, 1]).goal_label()[:2] == (35, 30) and search.FixedOrder(once, "w", [0, 2]).outcome()["category"] == "UNREACHABLE"
+
+
 def test_fixture_routes(spark):
     g = graph(spark, ("w", "l", 5), ("w", "l", 9), ("l", "k", 5))
     f = search.FixedOrder(g, "w", [0, 1, 2])

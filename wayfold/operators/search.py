@@ -29,10 +29,12 @@ class RoadGraph:
 
     edges: DataFrame
     turns: DataFrame
+    #: turns holds no parallel ones, so none have to be reduced
+    unique: bool = False
 
     def steps(self) -> DataFrame:
         """in_edge, out_edge, cost (of the turn and the edge that it enters), length, mask, x, y; clustered by in_edge, parallel turns reduced to the cheapest."""
-        cheapest = self.turns.groupBy("in_edge", "out_edge").agg(F.min("turn_cost").alias("turn_cost"))
+        cheapest = self.turns.select("in_edge", "out_edge", "turn_cost") if self.unique else self.turns.groupBy("in_edge", "out_edge").agg(F.min("turn_cost").alias("turn_cost"))
         e = self.edges.select(F.col("edge_id").alias("out_edge"), "cost", "length", "mask", *[c for c in ("x", "y") if c in self.edges.columns])
         return cheapest.join(e, "out_edge").withColumn("cost", F.col("turn_cost") + F.col("cost")).drop("turn_cost")
 
@@ -120,6 +122,12 @@ def advance(progress: Column, mask: Column, order: list[int]) -> Column:
     return out
 
 
+def off_order(*orders: list[int]) -> Column:
+    """Whether a mask has no place that none of the orders names."""
+    known = sum(1 << b for b in {b for o in orders for b in o})
+    return F.col("mask").bitwiseAND(F.lit(~known & ((1 << 62) - 1))) == 0
+
+
 def _bounds_left(bounds: dict[int, tuple[float, float, float, float]], order: list[int]) -> list[float]:
     """Seconds that are left at least once a place of the order is reached."""
     left = [0.0] * (len(order) + 1)
@@ -149,7 +157,8 @@ class FixedOrder:
 
     def __init__(self, graph: RoadGraph, start: str, order: list[int], free_start: bool = False, bounds: dict | None = None, units: float = 1.0, beam: int | None = None, most_rounds: int = 100_000, steps: DataFrame | None = None):
         self.order, self.goal = order, len(order)
-        steps = kept(graph.steps()) if steps is None else steps
+        # an edge in a place that the order lacks neither goes on nor counts as rejected
+        steps = (kept(graph.steps()) if steps is None else steps).where(off_order(order))
         first = graph.edges.where(F.col("edge_id") == start)
         # the first place of an order is where it starts, whether or not the edge lies in it
         mask = F.col("mask").bitwiseOR(F.lit(1 << order[0]))
@@ -163,8 +172,9 @@ class FixedOrder:
             best = labels.where(F.col("progress") == self.goal).agg(F.min("cost").alias("c")).first()["c"]
             step = frontier.select(F.col("edge_id").alias("in_edge"), F.col("progress").alias("p"), F.col("cost").alias("c"), F.col("length").alias("l")).where(F.col("progress") < self.goal).join(steps, "in_edge")
             moved = step.select(F.col("out_edge").alias("edge_id"), advance(F.col("p"), F.col("mask"), order).alias("progress"), (F.col("c") + F.col("cost")).alias("cost"), (F.col("l") + F.col("length")).alias("length"), F.col("in_edge").alias("from_edge"), F.col("p").alias("from_progress"), "mask", *[x for x in ("x", "y") if x in steps.columns])
-            off = F.lit(~sum(1 << b for b in order) & ((1 << 62) - 1))
-            bad = moved.where((F.col("progress") < 0) & (F.col("mask").bitwiseAND(off) == 0)).select("cost", "from_edge", "edge_id")
+            # one pass over the steps: what went on and what was rejected are read from the round's own table
+            moved = kept(moved)
+            bad = moved.where("progress < 0").select("cost", "from_edge", "edge_id")
             worst = bad.agg(F.min(F.struct("cost", "from_edge", "edge_id")).alias("x")).first()["x"]
             rejected = min(filter(None, (rejected, worst and tuple(worst))), default=None)
             moved = moved.where("progress >= 0")
@@ -229,7 +239,7 @@ OUTCOMES = "route string, order array<int>, category string, cost bigint, length
 def evaluated(graph: RoadGraph, schedule: list[tuple[str, list[int]]], start: str, **options) -> DataFrame:
     """OUTCOMES of a schedule of (route, order); equal orders are searched once."""
     memo: dict[tuple[int, ...], dict] = {}
-    steps, rows = kept(graph.steps()), []
+    steps, rows = kept(graph.steps().where(off_order(*[o for _, o in schedule]))), []
     for route, order in schedule:
         if (key := tuple(order)) not in memo:
             memo[key] = attempt(graph, route, order, start, steps=steps, **options)
